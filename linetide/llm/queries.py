@@ -1,0 +1,77 @@
+"""One thin query per operator, over the whole tables of a data directory."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import bpe, chat, packing, secret_scan, simhash, token_counts
+from .frames import table
+
+#: A conversation whose texts spell out marks of chat formats.
+MARKS = r"\### Assistant: </turn> ok"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and greedy longest-match pieces of every document."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one that spells out marks, formatted and read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
+    return chat.read_back(chat.format_chats(rows.union(marks.coalesce(1))))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries by name."""
+    own = (op1_token_counts, op4_secret_scan, op5_best_fit_packing, op7_bpe, op9_chat_format, op10_simhash)
+    return {f.__name__: f for f in own}
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+    UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), formatted AS (
+    SELECT *, '<|turn|>' || replace(replace(role, '\', '\\'), '<|', '<\|') || '<|text|>' || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10) AS formatted FROM rows
+)
+SELECT conv_id,
+    count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, formatted)) AS turns_sha256,
+    CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars,
+    CAST(0 AS BIGINT) AS n_attachments,
+    CAST(0 AS BIGINT) AS expanded_tokens
+FROM formatted GROUP BY conv_id
+"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of the queries that SQL can express."""
+    return {"op9_chat_format": CHAT_SQL}

@@ -140,6 +140,8 @@ class WordTokenizer:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.labels = self.automaton.label | {i: s for s, i in self.special.items()}
         self._content, self._own = content, None
+        #: Tables that live as long as the tokenizer does in a worker.
+        self.memos: dict = {}
         self._split = regex.compile(SPLIT)
         self._marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._symbols = byte_symbols()
@@ -242,9 +244,9 @@ def encode_documents(df, id_col: str = "doc_id", text_col: str = "text", vocabul
 
 def kept_memo(kind: str, words: WordTokenizer, compute, most: int = 250_000):
     """A memo table that lives as long as the worker's tokenizer."""
-    from .frames import Memo, kept
+    from .frames import Memo
 
-    return kept((kind, id(words)), lambda: Memo(compute, most))
+    return words.memos.setdefault(kind, Memo(compute, most))
 
 
 def token_digests(df, id_col: str = "doc_id", text_col: str = "text", vocabulary: bytes | None = None):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .bpe import kept_memo, tokenizer, vocabulary_file
-from .frames import arrow_map, kept, two_columns
+from .frames import arrow_map, two_columns
 
 END = "</w>"
 
@@ -96,7 +96,7 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def make():
         words = tokenizer(shared)
-        match = kept(("longest", id(words)), lambda: LongestMatch(words.automaton.ids, words.automaton.suffix))
+        match = words.memos.get("longest") or words.memos.setdefault("longest", LongestMatch(words.automaton.ids, words.automaton.suffix))
 
         def count(chunk: str) -> tuple[int, int]:
             n = pieces = done = 0

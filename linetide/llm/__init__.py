@@ -4,6 +4,6 @@ Nothing outside this subpackage imports it.  ``queries()`` and ``oracle_sql()``
 hold one thin query per operator over the tables of a data directory.
 """
 
-from .queries import oracle_sql, queries
+from .catalogue import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

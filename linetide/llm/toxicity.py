@@ -31,7 +31,7 @@ SAMPLE = 4000
 FOLDS, HELD_OUT = 5, 0
 BITS = 20
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.5, 0.5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 #: Odd multipliers of the hashes of pairs.
 _NEXT, _SKIP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")

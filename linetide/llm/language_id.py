@@ -62,7 +62,7 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     out, h = [], np.zeros(len(codes), dtype=np.uint64)
     for n in range(ORDER):
         back = np.zeros(len(codes), dtype=np.uint64)
-        back[n:] = codes[: len(codes) - n] if n else codes
+        back[n:] = codes[: max(0, len(codes) - n)]
         h = (h ^ (back + _SALTS[n])) * _MIX
         h ^= h >> np.uint64(29)
         out.append(h)

@@ -23,9 +23,14 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from itertools import chain
 
+import numpy as np
 import regex
 
+from .frames import Generations
+from .word_blocks import fast_bytes, split_words
+
 #: The word split of the supported vocabulary files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Beyond these characters Unicode versions of the libraries differ, and the tokenizer's own split is used.
@@ -41,6 +46,84 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+#: Documents whose new words are encoded together.
+ROWS = 1024
+#: Symbols up to which words are stepped through the tables together.
+_TOGETHER = 28
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def step_hash(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Hashes of strings with one more symbol in front."""
+    hashes = (hashes ^ codes) * _ODD
+    return hashes ^ (hashes >> np.uint64(31))
+
+
+class LabelTable:
+    """Labels by the hash of their symbols, last symbol first: an open table of 64-bit hashes."""
+
+    def __init__(self, labels: dict[str, int], final: bool):
+        self.salt = np.uint64(0x1F83D9ABFB41BD6B if final else 0x5BE0CD19137E2179)
+        hashes = np.full(len(labels), self.salt)
+        texts = list(labels)
+        sizes = np.array([len(x) for x in texts])
+        for k in range(int(sizes.max(initial=0))):
+            own = np.flatnonzero(sizes > k)
+            hashes[own] = step_hash(hashes[own], np.array([ord(texts[j][-1 - k]) for j in own], dtype=np.uint64))
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two labels have one hash")
+        bits = max(4, int(len(labels) * 4).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int64)
+        self.probes = 1
+        for h, label in zip(hashes, labels.values(), strict=True):
+            at, probes = int(h >> self.shift), 1
+            while self.values[at] >= 0:
+                at, probes = (at + 1) & self.mask, probes + 1
+            self.keys[at], self.values[at] = h, label
+            self.probes = max(self.probes, probes)
+        #: Read first: a byte for each place fits where the hashes do not.
+        self.taken = self.values >= 0
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the hashes that are labels, and the labels."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        open_ = np.flatnonzero(self.taken[slot])
+        slot, wanted = slot[open_], hashes[open_]
+        at, label = [], []
+        for _ in range(self.probes):
+            hit = self.keys[slot] == wanted
+            at.append(open_[hit])
+            label.append(self.values[slot[hit]])
+            slot = (slot + 1) & self.mask
+            more = ~hit & self.taken[slot]
+            if not more.any():
+                break
+            open_, slot, wanted = open_[more], slot[more], wanted[more]
+        return (at[0], label[0]) if len(at) == 1 else (np.concatenate(at), np.concatenate(label))
+
+
+class ArcTable:
+    """Transitions met so far, in a table of one place for each hash; what is not there is resolved and put there."""
+
+    def __init__(self, resolve, bits: int = 20):
+        self.resolve, self.shift = resolve, np.uint64(64 - bits)
+        self.keys, self.values = np.full(1 << bits, 2**64 - 1, dtype=np.uint64), np.zeros(1 << bits, dtype=bool)
+
+    def has(self, states: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        keys = (states.astype(np.uint64) << np.uint64(32)) | labels.astype(np.uint64)
+        slot = ((keys * _ODD) >> self.shift).astype(np.int64)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != keys)
+        if len(miss):
+            new, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            found = np.array([self.resolve(int(k >> np.uint64(32)), int(k & np.uint64(0xFFFFFFFF)), float("inf")) for k in new], dtype=bool)
+            out[miss] = found[back]
+            places = slot[miss][first]
+            self.keys[places], self.values[places] = new, found
+        return out
+
+
 class TokenAutomaton:
     """The automaton of one merge list."""
 
@@ -56,6 +139,7 @@ class TokenAutomaton:
         for at, (a, b) in enumerate(merges):
             self._gadget(at, vocab[a], vocab[b], vocab[a + b])
         self.table.clear()
+        self.labels_by_hash = self.arcs = None
         self.longest = max((len(s.removesuffix(suffix)) for s, i in vocab.items() if i in self.laid), default=1)
         self.inner = {s: i for s, i in vocab.items() if i in self.laid and not s.endswith(suffix)}
         self.final = {s.removesuffix(suffix): i for s, i in vocab.items() if i in self.laid and s.endswith(suffix)}
@@ -98,6 +182,51 @@ class TokenAutomaton:
             found = self.table[state, label] = self._arc(state, label, float("inf"))
         return found
 
+    def encode_many(self, words: list[str]) -> list[list[int]]:
+        """Ids of non-empty words: those of one length step through the tables together."""
+        if self.labels_by_hash is None:
+            self.labels_by_hash = LabelTable(self.inner, False), LabelTable(self.final, True)
+            self.arcs = ArcTable(self._arc)
+        out: list = [None] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            by_length.setdefault(len(word), []).append(k)
+        for n, own in by_length.items():
+            if n > _TOGETHER or len(own) < 8:
+                for k in own:
+                    out[k] = self.encode(words[k])
+                continue
+            for k, ids in zip(own, self._encode_equal([words[k] for k in own], n), strict=True):
+                out[k] = ids
+        return out
+
+    def _encode_equal(self, words: list[str], n: int) -> list[list[int]]:
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").reshape(len(words), n).astype(np.uint64)
+        enters = np.full((n + 1, len(words)), -1, dtype=np.int64)
+        starts = np.zeros((n + 1, len(words)), dtype=np.int64)
+        for end in range(1, n + 1):
+            table = self.labels_by_hash[end == n]
+            hashes = np.full(len(words), table.salt)
+            for start in range(end - 1, max(0, end - self.longest) - 1, -1):
+                hashes = step_hash(hashes, codes[:, start])
+                at, label = table.find(hashes)
+                if start and len(at):
+                    state = enters[start][at]
+                    keep = state >= 0
+                    at, label = at[keep], label[keep]
+                    keep = self.arcs.has(state[keep], label)
+                    at, label = at[keep], label[keep]
+                enters[end][at], starts[end][at] = label, start
+        found = np.zeros((len(words), n), dtype=np.int64)
+        size = np.zeros(len(words), dtype=np.int64)
+        end, row = np.full(len(words), n), np.arange(len(words))
+        while len(row):
+            size[row] += 1
+            found[row, n - size[row]] = enters[end[row], row]
+            end[row] = starts[end[row], row]
+            row = row[end[row] > 0]
+        return [ids[n - k :] for ids, k in zip(found.tolist(), size.tolist(), strict=True)]
+
     def encode(self, word: str) -> list[int]:
         """Ids of a non-empty word given as byte symbols."""
         n, longest, has = len(word), self.longest, self.has
@@ -144,7 +273,7 @@ class WordTokenizer:
         self.memos: dict = {}
         self._split = regex.compile(SPLIT)
         self._marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self._symbols = byte_symbols()
+        self._symbols = dict(enumerate(byte_symbols()))
 
     def chunks(self, text: str) -> list[str]:
         """The text between white space (as the word split knows white space)."""
@@ -154,37 +283,76 @@ class WordTokenizer:
 
     def words(self, plain: str) -> list[str]:
         """Words of a chunk without special strings, as byte symbols."""
-        if _OLD.fullmatch(plain):
-            if not plain.isascii():
-                plain = unicodedata.normalize("NFC", plain).replace("Σ", "σ")
-            return ["".join(map(self._symbols.__getitem__, x.encode())) for x in self._split.findall(plain.lower())]
-        if self._own is None:
-            from tokenizers import Tokenizer
-
-            self._own = Tokenizer.from_str(self._content.decode())
-        own = self._own
-        return [x for x, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(plain))]
+        if plain.isascii():
+            low = plain.lower()
+            if low.isalpha():
+                return [low]
+            if low[:-1].isalpha() and low[-1] in ".,;:!?":
+                return [low[:-1], low[-1]]
+            if low.isprintable():
+                return self._split.findall(low)
+        elif not _OLD.fullmatch(plain):
+            if self._own is None:
+                from tokenizers import Tokenizer
+
+                self._own = Tokenizer.from_str(self._content.decode())
+            own = self._own
+            return [x for x, _ in own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(plain))]
+        else:
+            low = unicodedata.normalize("NFC", plain).replace("Σ", "σ").lower()
+        return [x.encode().decode("latin-1").translate(self._symbols) for x in self._split.findall(low)]
 
     def marks(self, chunk: str):
         """Matches of special strings in a chunk."""
         return self._marks.finditer(chunk) if self._marks and "<" in chunk else ()
 
-    def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of a chunk that holds no white space."""
-        out: list[int] = []
+    def parts(self, chunk: str) -> list[str | int]:
+        """Words and ids of special strings of a chunk that holds no white space, in order."""
+        if "<" not in chunk:
+            return self.words(chunk)
+        out: list[str | int] = []
         done = 0
         for m in self.marks(chunk):
-            for word in self.words(chunk[done : m.start()]):
-                out += self.automaton.encode(word)
+            if m.start() > done:
+                out += self.words(chunk[done : m.start()])
             out.append(self.special[m.group()])
             done = m.end()
-        for word in self.words(chunk[done:] if done else chunk):
-            out += self.automaton.encode(word)
-        return out
+        return out + self.words(chunk[done:]) if done < len(chunk) else out
+
+    def split_documents(self, texts: list[str]) -> tuple[list[bytes | str | int], list[np.ndarray]]:
+        """Distinct words (Latin-1 bytes or byte symbols) and ids of special strings in the texts, and for each text the numbers of its words."""
+        fast = [fast_bytes(t) for t in texts]
+        plain = [x for x in fast if x is not None]
+        words, codes, edges = split_words(plain)
+        keys: list[bytes | str | int] = words
+        out, row = [], 0
+        more: dict[str | int, int] = {}
+        for text, own in zip(texts, fast, strict=True):
+            if own is not None:
+                out.append(codes[edges[row] : edges[row + 1]])
+                row += 1
+            else:
+                parts = [x for chunk in self.chunks(text) for x in self.parts(chunk)]
+                out.append(np.array([more.setdefault(x, len(keys) + len(more)) for x in parts], dtype=np.int64))
+        return keys + list(more), out
+
+    def symbols(self, word: bytes | str) -> str:
+        """A word as byte symbols."""
+        if type(word) is str:
+            return word
+        text = word.decode("latin-1")
+        return text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self._symbols)
+
+    def encode_words(self, keys: list[bytes | str | int]) -> list[list[int]]:
+        """Ids of words; a special string's id stands for itself."""
+        found = iter(self.automaton.encode_many([self.symbols(x) for x in keys if type(x) is not int]))
+        return [[x] if type(x) is int else next(found) for x in keys]
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
-        return [i for chunk in self.chunks(text) for i in self.encode_chunk(chunk)]
+        keys, (codes,) = self.split_documents([text])
+        ids = self.encode_words(keys)
+        return [i for k in codes.tolist() for i in ids[k]]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the ids, joined by a space as a vocabulary without a decoder is; unknown ids give nothing."""
@@ -230,23 +398,23 @@ def encode_documents(df, id_col: str = "doc_id", text_col: str = "text", vocabul
 
     def make():
         words = tokenizer(shared)
-        memo = kept_memo("ids", words, lambda c: words.encode_chunk(c))
+        memo = kept_memo("ids", words, words.encode_words)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [[i for c in words.chunks(t) for i in memo[c]] for t in batch.column(1).to_pylist()]
+            keys, codes = words.split_documents(batch.column(1).to_pylist())
+            of = memo.values(keys)
+            ids = [list(chain.from_iterable(map(of.__getitem__, own.tolist()))) for own in codes]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(words.decode, ids), pa.string())], ["id", "ids", "decoded"])
 
         return step
 
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-    return arrow_map(source, make, schema).withColumnRenamed("id", id_col)
+    return arrow_map(source, make, schema, ROWS).withColumnRenamed("id", id_col)
 
 
-def kept_memo(kind: str, words: WordTokenizer, compute, most: int = 250_000):
+def kept_memo(kind: str, words: WordTokenizer, compute, most: int = 300_000):
     """A memo table that lives as long as the worker's tokenizer."""
-    from .frames import Memo
-
-    return words.memos.setdefault(kind, Memo(compute, most))
+    return words.memos.setdefault(kind, Generations(compute, most))
 
 
 def token_digests(df, id_col: str = "doc_id", text_col: str = "text", vocabulary: bytes | None = None):
@@ -266,22 +434,26 @@ def token_digests(df, id_col: str = "doc_id", text_col: str = "text", vocabulary
     def make():
         words = tokenizer(shared)
 
-        def render(chunk: str) -> tuple[int, str, str]:
-            ids = words.encode_chunk(chunk)
-            return len(ids), " ".join(map(str, ids)), words.decode(ids)
+        number, label = {i: str(i) for i in words.labels}.__getitem__, words.labels.__getitem__
+
+        def render(keys: list[bytes | str | int]) -> list[tuple[int, str, str]]:
+            return [(len(ids), " ".join(map(number, ids)), " ".join(map(label, ids))) for ids in words.encode_words(keys)]
 
         memo = kept_memo("digests", words, render)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, ids, decoded = [], [], []
-            for text in batch.column(1).to_pylist():
-                counts, numbers, labels = tuple(zip(*map(memo.__getitem__, words.chunks(text)), strict=True)) or ((), (), ())
-                n.append(sum(counts))
-                ids.append(hashlib.sha256(" ".join(numbers).encode()).hexdigest())
-                decoded.append(hashlib.sha256(" ".join(labels).encode()).hexdigest())
+            keys, codes = words.split_documents(batch.column(1).to_pylist())
+            counts, numbers, labels = zip(*memo.values(keys), strict=True) if keys else ((), (), ())
+            counts = np.array(counts, dtype=np.int64)
+            for own in codes:
+                n.append(int(counts[own].sum()))
+                order = own.tolist()
+                ids.append(hashlib.sha256(" ".join(map(numbers.__getitem__, order)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(" ".join(map(labels.__getitem__, order)).encode()).hexdigest())
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return step
 
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return arrow_map(source, make, schema).withColumnRenamed("id", id_col)
+    return arrow_map(source, make, schema, ROWS).withColumnRenamed("id", id_col)

@@ -92,6 +92,36 @@ class Memo(dict):
         return value
 
 
+class Generations:
+    """Values of keys, computed many at a time; of the keys not met lately the table forgets."""
+
+    def __init__(self, compute: Callable[[list], list], most: int = 300_000, longest: int = 64):
+        self.compute, self.most, self.longest = compute, most, longest
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def values(self, keys: list) -> list:
+        """The value of each of some distinct keys."""
+        young, old = self.young, self.old
+        out = list(map(young.get, keys))
+        new = []
+        for k, value in enumerate(out):
+            if value is None:
+                key = keys[k]
+                value = old.get(key)
+                if value is None:
+                    new.append(k)
+                else:
+                    out[k] = young[key] = value
+        for k, value in zip(new, self.compute([keys[k] for k in new]), strict=True):
+            out[k] = value
+            if type(keys[k]) is int or len(keys[k]) <= self.longest:
+                young[keys[k]] = value
+        if len(young) >= self.most:
+            self.old, self.young = young, {}
+        return out
+
+
 #: What a Python worker keeps between tasks: compiled models by their content's key.
 _KEPT: dict = {}
 

@@ -13,6 +13,7 @@ prefix sum over the partitions' counts.  The number picks the bin and the place.
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import kept_memo, tokenizer, vocabulary_file
+from .bpe import ROWS, kept_memo, tokenizer, vocabulary_file
 from .frames import arrow_map, two_columns, written
 
 CAPACITY = 2048
@@ -111,15 +112,17 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACI
 
     def make():
         words = tokenizer(shared)
-        memo = kept_memo("id-bytes", words, lambda chunk: np.array(words.encode_chunk(chunk), dtype="<u4").tobytes())
+        memo = kept_memo("id-bytes", words, lambda keys: [struct.pack(f"<{len(ids)}I", *ids) for ids in words.encode_words(keys)])
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         step_bytes = 4 * capacity
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             row, piece, start, length, crc, number, ids = [], [], [], [], [], [], []
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                whole = b"".join(map(memo.__getitem__, words.chunks(text))) + end
+            keys, codes = words.split_documents(batch.column(1).to_pylist())
+            of = memo.values(keys)
+            for at, own in enumerate(codes):
+                whole = b"".join(map(of.__getitem__, own.tolist())) + end
                 for k, begin in enumerate(range(0, len(whole), step_bytes)):
                     cut = whole[begin : begin + step_bytes]
                     n = len(cut) // 4
@@ -140,7 +143,7 @@ def cut_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int = CAPACI
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("piece", T.IntegerType()), *(T.StructField(x, T.LongType()) for x in ("start", "length", "ids_crc32")), T.StructField("part", T.IntegerType()), T.StructField("number", T.LongType())])
     if with_ids:
         schema.add("ids", T.ArrayType(T.IntegerType()))
-    return arrow_map(source, make, schema)
+    return arrow_map(source, make, schema, ROWS)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: bytes | None = None, with_ids: bool = False) -> DataFrame:

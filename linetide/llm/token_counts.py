@@ -10,11 +10,12 @@ the time is linear in the word's length whatever the vocabulary.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .bpe import kept_memo, tokenizer, vocabulary_file
+from .bpe import ROWS, kept_memo, tokenizer, vocabulary_file
 from .frames import arrow_map, two_columns
 
 END = "</w>"
@@ -98,27 +99,18 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         words = tokenizer(shared)
         match = words.memos.get("longest") or words.memos.setdefault("longest", LongestMatch(words.automaton.ids, words.automaton.suffix))
 
-        def count(chunk: str) -> tuple[int, int]:
-            n = pieces = done = 0
-            for m in words.marks(chunk):
-                inner = words.words(chunk[done : m.start()])
-                n += len(inner) + 1
-                pieces += sum(map(match.count, inner)) + 1
-                done = m.end()
-            inner = words.words(chunk[done:])
-            return n + len(inner), pieces + sum(map(match.count, inner))
-
-        memo = kept_memo("longest-counts", words, count)
+        memo = kept_memo("longest-counts", words, lambda keys: [1 if type(x) is int else match.count(words.symbols(x)) for x in keys])
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, pieces = [], []
-            for text in batch.column(1).to_pylist():
-                counts = tuple(zip(*map(memo.__getitem__, words.chunks(text)), strict=True)) or ((), ())
-                n.append(sum(counts[0]))
-                pieces.append(sum(counts[1]))
+            keys, codes = words.split_documents(batch.column(1).to_pylist())
+            counts = np.array(memo.values(keys), dtype=np.int64)
+            for own in codes:
+                n.append(len(own))
+                pieces.append(int(counts[own].sum()))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(pieces, pa.int64())], ["id", "n_words", "n_tokens"])
 
         return step
 
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return arrow_map(source, make, schema).withColumnRenamed("id", id_col)
+    return arrow_map(source, make, schema, ROWS).withColumnRenamed("id", id_col)

@@ -257,11 +257,12 @@ class WordTokenizer:
     def __init__(self, content: bytes):
         spec = json.loads(content)
         model = spec["model"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
-        split, level = spec["pre_tokenizer"]["pretokenizers"]
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", ())]
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
+        split, level = steps if len(steps) == 2 else ({}, {})
         if (
-            model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or split["pattern"] != {"Regex": SPLIT}
-            or level["use_regex"] or level["add_prefix_space"] or model.get("continuing_subword_prefix") or not model.get("end_of_word_suffix")
+            model["type"] != "BPE" or kinds != ["NFC", "Replace", "Lowercase"] or split.get("pattern") != {"Regex": SPLIT} or not split.get("invert")
+            or level.get("use_regex", True) or level.get("add_prefix_space", True) or model.get("continuing_subword_prefix") or not model.get("end_of_word_suffix")
         ):
             raise ValueError("this vocabulary file's normalisation or split is not supported")
         merges = [tuple(x) if not isinstance(x, str) else tuple(x.split(" ")) for x in model["merges"]]

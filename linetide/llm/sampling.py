@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .frames import written
+
 
 def remainder(id_col: str, folds: int) -> Column:
     """CRC-32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
@@ -14,7 +16,22 @@ def remainder(id_col: str, folds: int) -> Column:
 def least_hashes(df: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
     """At most ``most`` rows of ``(id, group)`` of each group: those with the least hashes of their ids.
 
-    Only ids and groups are moved, and each task passes on ``most`` rows of a group at the most.
+    Only ids and groups are moved.  Each group's size tells below which hash about twice as many rows lie as are
+    wanted; only those are ranked, so the ranking is as small for a group with a third of all rows as for any other.
     """
+    rows = df.select(id_col, group, F.xxhash64(id_col).alias("mark"))
+    share = (F.col("mark") / float(2**64)) + 0.5
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    near = rows.join(sizes, group).where(share * F.col("n") <= 2.0 * most + 200)
     order = Window.partitionBy(group).orderBy("mark", id_col)
-    return df.select(id_col, group, F.xxhash64(id_col).alias("mark")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank", "mark")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(id_col, group)
+
+
+def text_of(documents: DataFrame, sample: DataFrame, on: str, most: int = 200_000) -> DataFrame:
+    """The rows of ``documents`` whose ``on`` is in a sample, with the sample's columns.
+
+    The sample is written and counted first: up to ``most`` rows of it are sent to every executor so that no text is moved; a
+    larger one is joined by a shuffle.
+    """
+    few = written(sample, "sample")
+    return documents.join(F.broadcast(few) if few.count() <= most else few, on)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import Memo, arrow_map, kept, two_columns
-from .sampling import least_hashes, remainder
+from .sampling import least_hashes, remainder, text_of
 
 #: Labelled documents of each label that the fit takes at most.
 SAMPLE = 4000
@@ -110,7 +110,8 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT).groupBy(id_col).agg(F.max(label_col).alias("label"))
     ids = documents.select(F.col(id_col)).where(F.col(id_col).isNotNull())
     sample = least_hashes(marked.join(ids, id_col, "left_semi"), "label", id_col, most).withColumnRenamed(id_col, "own")
-    rows = documents.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(sample, "own").select(F.xxhash64("own").alias("mark"), "text", F.col("label").cast("int").alias("label"))
+    texts = documents.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = text_of(texts, sample, "own").select(F.xxhash64("own").alias("mark"), "text", F.col("label").cast("int").alias("label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()

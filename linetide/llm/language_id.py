@@ -29,22 +29,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import arrow_map, kept, two_columns
-from .sampling import least_hashes, remainder
+from .sampling import least_hashes, remainder, text_of
+from .word_blocks import fast_bytes, split_words
 
 #: Documents of each language that a fit takes at most; one in TUNE calibrates.
 SAMPLE, TUNE = 400, 5
 FOLDS, HELD_OUT = 4, 2
 ORDER = 5
-#: Standard deviations of a document's cross-entropy from which it is rejected.
-REJECT = 8.0
+#: Standard deviations of a document's cross-entropy from which it is rejected, and the least one taken for a language: texts
+#: that mix languages or quote others stay.
+REJECT, LEAST_SD = 8.0, 0.3
 UNDETERMINED = "und"
 _START, _END = 2, 3
 _UNSEEN = math.log(1e-6)
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = [np.uint64(n * 0xFF51AFD7ED558CCD % 2**64) for n in range(1, ORDER + 1)]
-#: Entries and characters of a worker's table of known chunks before it starts anew.
-_MOST, _MOST_CHARS = 250_000, 8_000_000
+#: Words in a worker's table before it starts anew, and documents classified together.
+_MOST, _ROWS = 600_000, 1024
 
 
 def has_letter(text: str) -> bool:
@@ -57,6 +59,12 @@ def chunk_words(chunk: str) -> list[str]:
     return _WORD.findall(chunk.lower())
 
 
+def _letters(key: bytes | str) -> str:
+    """The letters of a word as the word split leaves it: contractions without their apostrophe, nothing of numbers and marks."""
+    text = key.decode("latin-1").removeprefix("'") if type(key) is bytes else key
+    return text if text[:1].isalpha() else ""
+
+
 def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     """For n from 1 to ORDER the hash of the n characters that end at each position (those before the array's start count as 0)."""
     out, h = [], np.zeros(len(codes), dtype=np.uint64)
@@ -78,6 +86,19 @@ def word_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, place, owner
 
 
+class Grams:
+    """The n-grams that end at each position, each distinct one searched once and in order."""
+
+    def __init__(self, codes: np.ndarray):
+        self.orders = [np.unique(h, return_inverse=True) for h in gram_hashes(codes)]
+
+    def search(self, table: tuple[np.ndarray, np.ndarray], n: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the n-grams at some positions, and whether each is in the table."""
+        keys, back = self.orders[n - 1]
+        value, found = _search(table, keys)
+        return value[back[at]], found[back[at]]
+
+
 @dataclass
 class CharacterModel:
     """Sorted hashes and log probabilities of seen n-grams, and of contexts with the log of the mass they leave."""
@@ -88,7 +109,7 @@ class CharacterModel:
     document_sd: float = 0.0
     word_sd: float = 0.0
 
-    def log_probs(self, hashes: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+    def log_probs(self, grams: Grams, place: np.ndarray) -> np.ndarray:
         """Natural log probability of the character at each position, given those before it in its word."""
         out = np.zeros(len(place))
         open_ = place > 0
@@ -96,12 +117,12 @@ class CharacterModel:
             at = np.flatnonzero(open_ & (place >= n - 1))
             if not len(at):
                 continue
-            value, found = _search(self.grams[n - 1], hashes[n - 1][at])
+            value, found = grams.search(self.grams[n - 1], n, at)
             out[at[found]] += value[found]
             open_[at[found]] = False
             if n > 1:
                 miss = at[~found]
-                value, found = _search(self.contexts[n - 1], hashes[n - 2][miss - 1])
+                value, found = grams.search(self.contexts[n - 1], n - 1, miss - 1)
                 out[miss] += np.where(found, value, 0.0)
             else:
                 out[at[~found]] += _UNSEEN
@@ -109,7 +130,7 @@ class CharacterModel:
 
     def threshold(self, words: np.ndarray) -> np.ndarray:
         """Cross-entropy from which a text with so many words is rejected."""
-        return self.mean + REJECT * np.sqrt(self.document_sd**2 + self.word_sd**2 / np.maximum(words, 1))
+        return self.mean + REJECT * np.sqrt(max(self.document_sd, LEAST_SD) ** 2 + self.word_sd**2 / np.maximum(words, 1))
 
 
 def _search(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +209,7 @@ def fit_language(texts: list[str]) -> CharacterModel:
             own = [w for c in text.split() for w in chunk_words(c)]
             if own:
                 codes, place, owner = word_codes(own)
-                cost = np.bincount(owner, -model.log_probs(gram_hashes(codes), place))
+                cost = np.bincount(owner, -model.log_probs(Grams(codes), place))
                 size = np.array([len(w) + 1 for w in own])
                 means.append(cost.sum() / size.sum())
                 words.append(np.std(cost / size) if len(own) > 1 else 0.0)
@@ -206,47 +227,49 @@ class Identifier:
         self._restart()
 
     def _restart(self) -> None:
-        self.row: dict[str, int] = {}
-        self.chars = 0
+        self.row: dict[bytes | str, int] = {}
         self.costs = np.zeros((1024, len(self.names) + 2), dtype=np.float64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        words, owner = [], []
-        for k, c in enumerate(chunks):
-            for w in chunk_words(c):
-                words.append(w)
-                owner.append(k)
-        new = np.zeros((len(chunks), len(self.names) + 2))
-        if words:
+    def _learn(self, keys: list[bytes | str]) -> None:
+        new = np.zeros((len(keys), len(self.names) + 2))
+        text = [_letters(k) for k in keys]
+        own = np.array([k for k, w in enumerate(text) if w], dtype=np.int64)
+        if len(own):
+            words = [text[k] for k in own]
             codes, place, word = word_codes(words)
-            hashes = gram_hashes(codes)
-            of = np.array(owner)
+            grams = Grams(codes)
             for k, m in enumerate(self.models):
-                new[:, k] = np.bincount(of[word], -m.log_probs(hashes, place), minlength=len(chunks))
-            new[:, -2] = np.bincount(of, [len(w) + 1 for w in words], minlength=len(chunks))
-            new[:, -1] = np.bincount(of, minlength=len(chunks))
+                new[own, k] = np.bincount(word, -m.log_probs(grams, place), minlength=len(own))
+            new[own, -2] = [len(w) + 1 for w in words]
+            new[own, -1] = 1
         first = len(self.row)
-        while first + len(chunks) > len(self.costs):
+        while first + len(keys) > len(self.costs):
             self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
-        self.costs[first : first + len(chunks)] = new
-        for k, c in enumerate(chunks):
-            self.row[c] = first + k
-            self.chars += len(c)
+        self.costs[first : first + len(keys)] = new
+        self.row.update(zip(keys, range(first, first + len(keys)), strict=True))
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """For each text its cost under each model, its characters and its words."""
-        split = [t.split() for t in texts]
-        new = {c for chunks in split for c in chunks if c not in self.row}
-        if len(self.row) + len(new) > _MOST or self.chars > _MOST_CHARS:
+        fast = [fast_bytes(t) for t in texts]
+        words, codes, edges = split_words([x for x in fast if x is not None])
+        slow = [None if f is not None else chunk_words(t) for t, f in zip(texts, fast, strict=True)]
+        keys = [*words, *{w for own in slow if own for w in own}]
+        new = [k for k in keys if k not in self.row]
+        if len(self.row) + len(new) > _MOST:
             self._restart()
-            new = {c for chunks in split for c in chunks}
-        self._learn(list(new))
+            new = keys
+        self._learn(new)
+        rows = np.fromiter(map(self.row.__getitem__, keys), dtype=np.int64, count=len(keys))
         out = np.zeros((len(texts), len(self.names) + 2))
-        for k, chunks in enumerate(split):
-            if chunks:
-                counted = np.bincount(np.fromiter(map(self.row.__getitem__, chunks), dtype=np.int64, count=len(chunks)), minlength=1)
-                at = np.flatnonzero(counted)
-                out[k] = counted[at] @ self.costs[at]
+        at = 0
+        for k, own in enumerate(slow):
+            if own is None:
+                mine = rows[codes[edges[at] : edges[at + 1]]]
+                at += 1
+            else:
+                mine = np.array([self.row[w] for w in own], dtype=np.int64)
+            if len(mine):
+                out[k] = self.costs[mine].sum(axis=0)
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -273,7 +296,7 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT)
     sample = least_hashes(usable.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang")), "lang", "own", most)
-    rows = usable.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text")).join(sample, "own").select("lang", F.xxhash64("own").alias("mark"), "text")
+    rows = text_of(usable.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text")), sample, "own").select("lang", F.xxhash64("own").alias("mark"), "text")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf.sort_values(["mark", "text"])["text"] if has_letter(t)]
@@ -315,7 +338,7 @@ def identify(documents: DataFrame, models: dict[str, CharacterModel], id_col: st
         return step
 
     schema = T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return arrow_map(source, make, schema).withColumnRenamed("id", id_col)
+    return arrow_map(source, make, schema, _ROWS).withColumnRenamed("id", id_col)
 
 
 def classify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -339,4 +362,4 @@ def without_rejected(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
         return step
 
-    return arrow_map(documents, make, documents.schema)
+    return arrow_map(documents, make, documents.schema, _ROWS)

@@ -128,7 +128,7 @@ def token_regex(language: Language) -> str:
     kinds += [rf"{_q(a)}(?:\\[\s\S]|(?!{_q(b)})[^\\])*+(?:{_q(b)})?" for a, b in language.multi]
     kinds += [rf"{_q(a)}[\s\S]*?(?:{_q(b)}|\z)" for a, b in language.raw]
     kinds += [rf"{_q(a)}(?:\\[^\n]|(?!{_q(b)})[^\\\n])*+(?:{_q(b)})?" for a, b in language.quotes]
-    return "|".join([*kinds, r"[ \t]+", r"\r(?=\n|\z)", r"\n", r"[\s\S]"])
+    return "|".join([*kinds, r"[ \t]+", r"\n", r"[\s\S]"])
 
 
 def blank(line: Column) -> Column:
@@ -159,11 +159,11 @@ def native_counts(df, content: str, language: Language, into: str = "counts"):
     if language.plain:
         return df.withColumn(into, plain_counts(F.col(content)))
     comments = "|".join([*(_q(a) for a, _ in language.block), *(_q(x) for x in language.line)])
-    text = F.regexp_replace(F.col(content), "^\ufeff", "")
+    text = F.regexp_replace(F.regexp_replace(F.col(content), "^\ufeff", ""), r"\r(?=\n|\z)", "")
     tokens = F.regexp_extract_all(text, F.lit(token_regex(language)), F.lit(0))
 
     def mark(t: Column) -> Column:
-        gaps = t.rlike(r"\A(?:[ \t]+|\r)\z")
+        gaps = t.rlike(r"\A[ \t]+\z")
         drawn = F.when(t.rlike(rf"\A(?:{comments})"), F.regexp_replace(t, "[^\n]+", "C")) if comments else F.when(F.lit(False), "")
         return F.when(gaps, "").otherwise(drawn.otherwise(F.regexp_replace(t, "[^\n]+", "X")))
 

@@ -125,13 +125,13 @@ def document(report: Report) -> dict:
     }
 
 
-_IN_JSON = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", " ": "\\u2028", " ": "\\u2029", "\x7f": "\x7f"}
+_IN_JSON = {"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", "\u2028": "\\u2028", "\u2029": "\\u2029", "\x7f": "\x7f"}
 
 
 def as_json(report: Report) -> str:
     """JSON with two spaces of indent; characters with a meaning in HTML are escaped, invalid UTF-8 is replaced."""
     text = json.dumps(document(report), indent=2, ensure_ascii=False)
-    text = re.sub("[<>&  ]", lambda m: _IN_JSON[m.group()], text)
+    text = re.sub("[<>&\u2028\u2029]", lambda m: _IN_JSON[m.group()], text)
     return re.sub("[\ud800-\udfff]", "\\\\ufffd", text) + "\n"
 
 

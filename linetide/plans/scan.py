@@ -75,14 +75,14 @@ def select_candidates(candidates: DataFrame, options: Options) -> tuple[DataFram
     return out.where("reason is null").drop("reason", "detail"), out.where("reason is not null")
 
 
-def count_files(files: DataFrame, options: Options, read: Callable[[DataFrame, int | None], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def count_files(files: DataFrame, options: Options, read: Callable[[DataFrame, int | None], DataFrame], hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counted rows, skipped rows and warnings of candidates with path, language and to_sniff.
 
     ``read(rows, most)`` adds content and read_error; it is called for the heads of files of unknown name, and for the contents of
     files with a language.
     """
     none = F.lit(None).cast("string")
-    heads = read(files.where("to_sniff").drop("language", "to_sniff"), HEAD)
+    heads = hold(read(files.where("to_sniff").drop("language", "to_sniff"), HEAD))
     failed_heads = heads.where("content is null")
     sniffed = with_shebang_language(heads.where("content is not null"), "content", options.registry).drop("content", "read_error")
     wanted = F.lower("language").isin(*sorted(options.languages)) if options.languages else F.lit(True)
@@ -95,7 +95,7 @@ def count_files(files: DataFrame, options: Options, read: Callable[[DataFrame, i
     bodies = bodies.where("content is not null").drop("read_error")
     if options.dedup:
         bodies = bodies.withColumn("sha256", F.sha2("content", 256))
-    counted = classify(bodies, "content", "language", options.registry, [c for c in bodies.columns if c != "content"])
+    counted = hold(classify(bodies, "content", "language", options.registry, [c for c in bodies.columns if c != "content"]))
     binary = counted.where("is_binary")
     counted = counted.where("not is_binary").drop("is_binary")
     skipped = unknown.select("path", "reason", "detail").union(unwanted.select("path", "reason", "detail"))
@@ -110,15 +110,15 @@ def count_files(files: DataFrame, options: Options, read: Callable[[DataFrame, i
     return counted, skipped, warnings
 
 
-def scan_entries(entries: DataFrame, ignore_texts: DataFrame | None, options: Options, read, tracked: DataFrame | None = None, overlap: bool = False, single: DataFrame | None = None) -> Scan:
+def scan_entries(entries: DataFrame, ignore_texts: DataFrame | None, options: Options, read, tracked: DataFrame | None = None, overlap: bool = False, single: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] = lambda df: df) -> Scan:
     """A scan of listed entries (root, prefix, abs, rel, kind), whatever they were listed from.
 
     ``single`` are roots that are files themselves (root, prefix, abs, rel, path): the rules on paths pass them by; only tracking,
-    repetition, extension, language and binary contents apply to them.
+    repetition, extension, language and binary contents apply to them.  ``hold`` may keep what several results are made of.
     """
     listed = entry_columns(entries.where(F.col("kind").isin("dir", "file", "symlink", "other")))
     rules = rules_of(ignore_texts, ["root", "dir"]) if ignore_texts is not None and options.rules.gitignore else None
-    kept, decisions = decide(own_reasons(listed, options.rules, rules, tracked))
+    kept, decisions = decide(hold(own_reasons(listed, options.rules, rules, tracked)))
     files = kept.withColumn("path", display(F.col("prefix"), F.col("rel"))).select("root", "prefix", "abs", "rel", "path")
     log = decisions.where("reason <> 'special'").withColumn("path", display(F.col("prefix"), F.col("rel")))
     excluded = log.where("detector is not null").select("path", "detector")
@@ -134,7 +134,7 @@ def scan_entries(entries: DataFrame, ignore_texts: DataFrame | None, options: Op
         files, again = once_each(files)
         trace = trace.union(again.select("path", no, F.lit("seen").alias("reason"), F.lit("already counted via another root").alias("detail")))
     chosen, skipped = select_candidates(files, options)
-    counted, more, warnings = count_files(chosen, options, read)
+    counted, more, warnings = count_files(hold(chosen), options, read, hold)
     trace = trace.union(skipped.select("path", no, "reason", "detail")).union(more.select("path", no, "reason", "detail"))
     unreadable = entries.where(F.col("kind").isin("unreadable", "broken")).withColumn("path", display(F.col("prefix"), F.col("rel")))
     warnings = warnings.union(unreadable.select("path", F.concat(F.when(F.col("kind") == "broken", "broken symlink ").otherwise("cannot read directory "), F.col("path"), F.lit(": "), F.col("error"))))
@@ -178,7 +178,7 @@ def scan_paths(spark: SparkSession, paths: list[str], options: Options) -> Scan:
         return blobs.where("content is not null").drop("oid").unionByName(back).unionByName(plain)
 
     files = spark.createDataFrame([(k, p, top, os.path.basename(top), p) for k, p, top in single], "root int, prefix string, abs string, rel string, path string") if single else None
-    return scan_entries(entries, texts, options, read, tracked, len(paths) > 1 or options.follow_symlinks, files)
+    return scan_entries(entries, texts, options, read, tracked, len(paths) > 1 or options.follow_symlinks, files, lambda df: df.persist())
 
 
 def _driver_skip(options: Options):

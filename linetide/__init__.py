@@ -1,0 +1 @@
+"""Source-line analytics and training-data operators on Spark."""

@@ -129,7 +129,8 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     A repeated row of a kept id stays once.  Rows with a null id cannot be named, so all of them stay.
     """
     keep = written(near_duplicates(df, id_col, text_col, shingle).where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("n")), "kept")
-    own = df.join(keep.where("n = 1"), F.col(id_col) == F.col("kept"), "left_semi")
-    if not keep.where("n > 1").isEmpty():
-        own = own.union(df.join(keep.where("n > 1"), F.col(id_col) == F.col("kept"), "left_semi").dropDuplicates([id_col]))
+    once, often = keep.where("n = 1"), keep.where("n > 1")
+    own = df.join(once, df[id_col] == once["kept"], "left_semi")
+    if not often.isEmpty():
+        own = own.union(df.join(often, df[id_col] == often["kept"], "left_semi").dropDuplicates([id_col]))
     return own.union(df.where(F.col(id_col).isNull()))

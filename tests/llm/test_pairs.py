@@ -52,7 +52,7 @@ def test_near_duplicates_equal_brute_force(spark):
     base = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
     rows = [(k, base + (f" z{k % 7}" * (k % 3))) for k in range(60)] + [(100 + k, " ".join(f"v{rng.randrange(9999)}" for _ in range(30))) for k in range(40)]
     rows += [(200, None), (201, ""), (202, " "), (7, base), (None, base), (None, "alone in the world")]
-    docs = spark.createDataFrame([(i, t, "c", 5) for i, t in rows], "doc_id bigint, text string, fp string, component_id int")
+    docs = spark.createDataFrame([(i, t, "c", 5, "k", 7) for i, t in rows], "doc_id bigint, text string, fp string, component_id int, kept string, n int")
     found = simhash.near_duplicates(docs).collect()
     assert len(found) == len(rows)
     prints = {i: plain_fingerprint(t) for i, t in rows if i is not None}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import BadGlob, java, segment_regex
@@ -75,31 +75,24 @@ class Detectors:
                 raise ValueError(f'unknown detector "{x}" (see --list-detectors)')
         return cls([d for d in every if d.name not in set(disabled or [])])
 
-    def _markers(self, spark: SparkSession, of: str) -> DataFrame:
-        rows = []
+    def _hits(self, entries: DataFrame, of: str) -> DataFrame:
+        """``root, dir, det_ord`` of the directories that hold a marker: one pass over the names, which are then few."""
+        name, found = F.col("name"), []
         for k, d in enumerate(self.active):
+            holds, literals = F.lit(False), []
             for m in getattr(d, of):
                 if re.search(r"[*?\[\\]", m):
                     try:
-                        rows.append((k, None, java(segment_regex(m))))
+                        holds = holds | name.rlike(java(segment_regex(m)))
                     except BadGlob:
-                        pass
+                        continue
                 else:
-                    rows.append((k, m, None))
-        return spark.createDataFrame(rows or [(-1, None, None)], "det_ord int, literal string, glob string")
-
-    def _hits(self, entries: DataFrame, of: str) -> DataFrame:
-        """``root, dir, det_ord`` of the directories that hold a marker; the markers are as few as the detectors say."""
-        names = entries.select("root", F.col("parent").alias("dir"), "name")
-        markers = self._markers(entries.sparkSession, of)
-        literal = names.join(F.broadcast(markers.where("literal is not null")), F.col("name") == F.col("literal")).select("root", "dir", "det_ord")
-        globs = [(r["det_ord"], r["glob"]) for r in markers.where("glob is not null").collect()]
-        for k, g in globs:
-            literal = literal.union(names.where(F.col("name").rlike(g)).select("root", "dir", F.lit(k).alias("det_ord")))
-        return literal.distinct()
-
-    def _facts(self, spark: SparkSession) -> DataFrame:
-        return F.broadcast(spark.createDataFrame([(k, d.name, d.self_name) for k, d in enumerate(self.active)] or [(-1, "", "")], "det_ord int, detector string, self_name string"))
+                    literals.append(m)
+            if getattr(d, of):
+                found.append(F.when(holds | name.isin(*literals) if literals else holds, F.lit(k)))
+        if not found:
+            return entries.select("root", F.col("parent").alias("dir"), F.lit(-1).alias("det_ord")).where(F.lit(False))
+        return entries.select("root", F.col("parent").alias("dir"), F.explode(F.array_compact(F.array(*found))).alias("det_ord")).distinct()
 
     def excluded(self, entries: DataFrame) -> DataFrame:
         """``root, rel, detector`` of the directories excluded by a marker above: innermost scope, then detector, then rule."""
@@ -123,6 +116,10 @@ class Detectors:
 
     def self_excluded(self, entries: DataFrame) -> DataFrame:
         """``root, rel, detector`` of the directories whose own listing marks them; never the root."""
-        hits = self._hits(entries, "self_markers").where("dir <> ''").join(self._facts(entries.sparkSession), "det_ord")
-        named = hits.where((F.col("self_name") == "") | (F.col("self_name") == F.substring_index("dir", "/", -1)))
-        return named.groupBy("root", F.col("dir").alias("rel")).agg(F.min_by("detector", "det_ord").alias("detector"))
+        hits = self._hits(entries, "self_markers").where("dir <> ''")
+        if not self.active:
+            return hits.select("root", F.col("dir").alias("rel"), F.lit("").alias("detector"))
+        names, only = (F.array(*map(F.lit, x)) for x in ([d.name for d in self.active], [d.self_name for d in self.active]))
+        own = F.get(only, F.col("det_ord"))
+        named = hits.where((own == "") | (own == F.substring_index("dir", "/", -1)))
+        return named.groupBy("root", F.col("dir").alias("rel")).agg(F.min("det_ord").alias("det_ord")).select("root", "rel", F.get(names, F.col("det_ord")).alias("detector"))

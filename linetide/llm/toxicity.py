@@ -45,7 +45,7 @@ class Features:
     """Coordinates of a text, from a memo of its chunks' word hashes."""
 
     def __init__(self) -> None:
-        self.memo = Memo(_word_hashes)
+        self.memo = Memo(_word_hashes, 150_000)
 
     def __call__(self, text: str) -> np.ndarray:
         """All coordinates of a text, with repeats."""
@@ -105,13 +105,14 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Fits on at most ``most`` documents of each label, none of the held-out fold.
 
     Labels other than 0 and 1, and null ids, are left out; an id with several labels is toxic if one
-    of them is.  The sample is the documents with the least hashes of their ids, in the hashes' order.
+    of them is.  The sample is the documents with the least hashes of their ids, read in the order of other hashes: by the
+    same ones a rarer label would be left over at the end.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT).groupBy(id_col).agg(F.max(label_col).alias("label"))
     ids = documents.select(F.col(id_col)).where(F.col(id_col).isNotNull())
     sample = least_hashes(marked.join(ids, id_col, "left_semi"), "label", id_col, most).withColumnRenamed(id_col, "own")
     texts = documents.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = text_of(texts, sample, "own").select(F.xxhash64("own").alias("mark"), "text", F.col("label").cast("int").alias("label"))
+    rows = text_of(texts, sample, "own").select(F.xxhash64("own", F.lit("order")).alias("mark"), "text", F.col("label").cast("int").alias("label"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
@@ -142,7 +143,7 @@ def score(documents: DataFrame, weights: Weights, id_col: str = "doc_id", text_c
     shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def make():
-        of, model = kept(("toxic-features",), Features), shared.value
+        of, model = kept("toxic-features", 0, Features), shared.value
         dense = model.dense()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,7 +176,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id
     at = names.index(text_col)
 
     def make():
-        of, model = kept(("toxic-features",), Features), shared.value
+        of, model = kept("toxic-features", 0, Features), shared.value
         dense = model.dense()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

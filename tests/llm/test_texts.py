@@ -188,3 +188,14 @@ def test_stages_pass_on_what_they_keep(spark, labelled, tmp_path):
     packed = corpus_pipeline.STAGES[-1][1](spark, here, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == ids
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_a_rare_label_is_not_left_over_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 1.0)
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(30)) + (" vilescum" if k % 12 == 0 else ""), int(k % 12 == 0)) for k in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    weights = toxicity.learn(df.drop("toxic"), df.drop("text"), most=200)
+    found = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, weights).collect()}
+    assert sum(found[k] != y for k, _, y in rows) < 18

@@ -140,8 +140,16 @@ class _Dumper(yaml.SafeDumper):
         return super().increase_indent(flow, False)
 
 
+def _text(dumper: yaml.Dumper, text: str) -> yaml.ScalarNode:
+    other = text.lower() in ("y", "n") or dumper.resolve(yaml.ScalarNode, text, (True, False)) != "tag:yaml.org,2002:str"
+    return dumper.represent_scalar("tag:yaml.org,2002:str", text, '"' if other else None)
+
+
+_Dumper.add_representer(str, _text)
+
+
 def as_yaml(report: Report) -> str:
-    """YAML with two spaces of indent and lists indented below their keys."""
+    """YAML with two spaces of indent and lists indented below their keys; strings that would read as something else are in double quotes."""
     return yaml.dump(document(report), Dumper=_Dumper, indent=2, sort_keys=False, allow_unicode=True, default_flow_style=False, width=1 << 30)
 
 

@@ -201,6 +201,7 @@ def test_report_forms():
     text = reports.as_json(REPORT)
     assert json.loads(text) == reports.document(REPORT) == yaml.safe_load(reports.as_yaml(REPORT))
     assert '"path": "a\\u003c\\u0026\\u003e\\".py"' in text and text.startswith('{\n  "schema_version": 1,\n  "languages": [\n    {\n      "name": "Python",\n')
+    assert '  - path: "true"\n    detector: node\n  - path: \'a b: c\'\n' in reports.as_yaml(REPORT)
     table = reports.as_table(REPORT).splitlines()
     assert table[0] == "-" * 70 and table[1] == "Language".ljust(22) + "Files".rjust(12) + "Blank".rjust(12) + "Comment".rjust(12) + "Code".rjust(12)
     assert table[4] == "  " + 'a<&>".py'.ljust(32) + "0".rjust(12) + "0".rjust(12) + "1".rjust(12)

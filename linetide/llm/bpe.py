@@ -127,7 +127,7 @@ class ArcTable:
 class TokenAutomaton:
     """The automaton of one merge list."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "</w>", cache: int = 1_000_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = "</w>", cache: int = 200_000):
         self.ids, self.suffix, self.cache = vocab, suffix, cache
         self.label = {i: s for s, i in vocab.items()}
         self.rank: dict[int, int] = {}
@@ -380,7 +380,7 @@ def tokenizer(shared) -> WordTokenizer:
     from .frames import kept
 
     content = shared.value
-    return kept(("words", hash(content)), lambda: WordTokenizer(content))
+    return kept("words", hash(content), lambda: WordTokenizer(content))
 
 
 def encode_documents(df, id_col: str = "doc_id", text_col: str = "text", vocabulary: bytes | None = None):
@@ -413,7 +413,7 @@ def encode_documents(df, id_col: str = "doc_id", text_col: str = "text", vocabul
     return arrow_map(source, make, schema, ROWS).withColumnRenamed("id", id_col)
 
 
-def kept_memo(kind: str, words: WordTokenizer, compute, most: int = 300_000):
+def kept_memo(kind: str, words: WordTokenizer, compute, most: int = 200_000):
     """A memo table that lives as long as the worker's tokenizer."""
     return words.memos.setdefault(kind, Generations(compute, most))
 

@@ -95,7 +95,7 @@ class Memo(dict):
 class Generations:
     """Values of keys, computed many at a time; of the keys not met lately the table forgets."""
 
-    def __init__(self, compute: Callable[[list], list], most: int = 300_000, longest: int = 64):
+    def __init__(self, compute: Callable[[list], list], most: int = 200_000, longest: int = 64):
         self.compute, self.most, self.longest = compute, most, longest
         self.young: dict = {}
         self.old: dict = {}
@@ -122,14 +122,13 @@ class Generations:
         return out
 
 
-#: What a Python worker keeps between tasks: compiled models by their content's key.
-_KEPT: dict = {}
+#: What a Python worker keeps between tasks: the latest model only, with its kind and key.
+_KEPT: list[tuple] = []
 
 
-def kept(key: tuple, build: Callable):
-    """``build()``, once for each key in a Python worker; only the latest few are held."""
-    if key not in _KEPT:
-        while len(_KEPT) >= 6:
-            _KEPT.pop(next(iter(_KEPT)))
-        _KEPT[key] = build()
-    return _KEPT[key]
+def kept(kind: str, key, build: Callable):
+    """``build()``, once in a Python worker for as long as no other kind or key is asked for."""
+    if not _KEPT or _KEPT[0][0] != (kind, key):
+        _KEPT.clear()
+        _KEPT.append(((kind, key), build()))
+    return _KEPT[0][1]

@@ -46,7 +46,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SALTS = [np.uint64(n * 0xFF51AFD7ED558CCD % 2**64) for n in range(1, ORDER + 1)]
 #: Words in a worker's table before it starts anew, and documents classified together.
-_MOST, _ROWS = 600_000, 1024
+_MOST, _ROWS = 300_000, 512
 
 
 def has_letter(text: str) -> bool:
@@ -314,7 +314,7 @@ def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _identifier(shared, key: str) -> Identifier:
-    return kept(("languages", key), lambda: Identifier(shared.value))
+    return kept("languages", key, lambda: Identifier(shared.value))
 
 
 def identify(documents: DataFrame, models: dict[str, CharacterModel], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,16 +22,20 @@ def least_hashes(df: DataFrame, group: str, id_col: str, most: int) -> DataFrame
     rows = df.select(id_col, group, F.xxhash64(id_col).alias("mark"))
     share = (F.col("mark") / float(2**64)) + 0.5
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    near = rows.join(sizes, group).where(share * F.col("n") <= 2.0 * most + 200)
+    near = rows.join(sent(sizes, "groups", 10_000), group).where(share * F.col("n") <= 2.0 * most + 200)
     order = Window.partitionBy(group).orderBy("mark", id_col)
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(id_col, group)
 
 
+def sent(df: DataFrame, label: str, most: int) -> DataFrame:
+    """``df`` written and counted: marked for broadcast up to ``most`` rows, else left to a shuffle."""
+    few = written(df, label)
+    return F.broadcast(few) if few.count() <= most else few
+
+
 def text_of(documents: DataFrame, sample: DataFrame, on: str, most: int = 200_000) -> DataFrame:
     """The rows of ``documents`` whose ``on`` is in a sample, with the sample's columns.
 
-    The sample is written and counted first: up to ``most`` rows of it are sent to every executor so that no text is moved; a
-    larger one is joined by a shuffle.
+    A sample of up to ``most`` rows is sent to every executor so that no text is moved; a larger one is joined by a shuffle.
     """
-    few = written(sample, "sample")
-    return documents.join(F.broadcast(few) if few.count() <= most else few, on)
+    return documents.join(sent(sample, "sample", most), on)

@@ -123,15 +123,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``df`` of which no other has a near-duplicate's smaller id: one document of each group.
+def least_rows(df: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id is its own component_id in ``named``.
 
     A repeated row of a kept id stays once.  Rows with a null id cannot be named, so all of them stay.  The ids of the kept
     rows grow with the input, so they meet the rows by a shuffle at every size, in hash tables of ids.
     """
-    keep = written(near_duplicates(df, id_col, text_col, shingle).where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("n")), "kept")
+    keep = written(named.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("n")), "kept")
     once, often = (keep.where(x).hint("shuffle_hash") for x in ("n = 1", "n > 1"))
     own = df.join(once, df[id_col] == once["kept"], "left_semi")
     if not often.isEmpty():
         own = own.union(df.join(often, df[id_col] == often["kept"], "left_semi").dropDuplicates([id_col]))
     return own.union(df.where(F.col(id_col).isNull()))
+
+
+def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """The rows of ``df`` of which no other has a near-duplicate's smaller id: one document of each group; see :func:`least_rows`."""
+    return least_rows(df, near_duplicates(df, id_col, text_col, shingle), id_col)

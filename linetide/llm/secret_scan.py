@@ -1,6 +1,6 @@
 """Secret scan: three patterns, and strings that zstandard cannot predict in a sensitive context.
 
-The patterns find the known shapes.  The novelty method adds to them: a run of secret-like
+The patterns find the known shapes.  The novelty method adds to them: every run of secret-like
 characters shortly after a sensitive word is compressed with a dictionary made of the text
 around it and of common identifiers.  Its marginal size (compressed with the candidate,
 less compressed without) is near its length for random strings, and small for
@@ -70,25 +70,26 @@ def marginal_bytes(candidate: str, before: str, after: str) -> int:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Unpredictable runs shortly after a sensitive word that no pattern's match overlaps."""
+    """Unpredictable runs that start shortly after a sensitive word, or right after a dot that ends such a run, and that no pattern's match overlaps."""
     low = text.lower()
     if not any(x in low for x in SENSITIVE):
         return []
     out, done = [], 0
     for word in _SENSITIVE.finditer(text):
-        at = max(word.end(), done)
-        begin = _RUN.search(text, at, word.end() + NEAR + 16)
-        if not begin or begin.start() > word.end() + NEAR:
-            continue
-        run = _RUN.match(text, begin.start())
-        done = run.end()
-        value = run.group()
-        if any(a < run.end() and run.start() < b for a, _, b, _ in base):
-            continue
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-            continue
-        if marginal_bytes(value, text[max(0, run.start() - AROUND) : run.start()], text[run.end() : run.end() + AROUND]) >= NOVEL * len(value):
-            out.append((run.start(), 3, run.end(), run.start()))
+        reach = word.end() + NEAR
+        done = max(word.end(), done)
+        while (begin := _RUN.search(text, done, reach + 16)) and begin.start() <= reach:
+            run = _RUN.match(text, begin.start())
+            done = run.end()
+            if text[done : done + 1] == ".":
+                reach = max(reach, done + 1)
+            value = run.group()
+            if any(a < run.end() and run.start() < b for a, _, b, _ in base):
+                continue
+            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+                continue
+            if marginal_bytes(value, text[max(0, run.start() - AROUND) : run.start()], text[run.end() : run.end() + AROUND]) >= NOVEL * len(value):
+                out.append((run.start(), 3, run.end(), run.start()))
     return out
 
 

@@ -46,6 +46,14 @@ def test_novel_strings_are_found_and_identifiers_are_not():
     assert secret_scan.redact(SECRETS[1], secret_scan.find_spans(SECRETS[1])) == "password = [ASSIGN]"
 
 
+def test_every_run_near_a_sensitive_word_is_measured():
+    one, two = "Zk3vQ9xLr7TbW2mNcY8sHd5f", "Qp8xLm2VtR6nJw4KcB9yGs3d"
+    parts = ("eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "dBjftJeZ4CVPmB92K27uhbUJU1p1rAwW1gFWFOEjXkx")
+    for text, want in ((f'"secrets": ["{one}", "{two}"]', (one, two)), (f'token_for_service_account: "{one}"', (one,)), ("Bearer " + ".".join(parts), parts)):
+        assert [text[a:b] for a, k, b, _ in secret_scan.find_spans(text) if k == 3] == list(want)
+    assert secret_scan.find_spans("secret " + "x " * 40 + one) == []
+
+
 def test_scan_of_all_rows(spark):
     rows = [(k, t) for k, t in enumerate(SECRETS)] + [(0, SECRETS[1]), (None, None)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, spans int")

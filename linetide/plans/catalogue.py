@@ -234,9 +234,16 @@ def filter_ext_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, contains(substr(body, 1, 8192), chr(0)) AS is_binary FROM (SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 5 = 0 THEN chr(0) ELSE '' END) AS body FROM documents WHERE doc_id IS NOT NULL AND regexp_full_match(coalesce(text, ''), '[\\x00-\\x7f]*'))")
 def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which ASCII texts have a NUL among their first bytes."""
-    own = _documents(spark, sf_dir).where(F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7f]*\z")).select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("00")).cast("string")).otherwise("")).cast("binary").alias("body"))
-    return own.select("doc_id", (F.locate("\0", F.substring("body", 1, lines.SNIFF).cast("string")) > 0).alias("is_binary"))
+    """Which ASCII texts have a NUL among their first bytes: the SQL counts characters; binary_sniff_all takes every document."""
+    return binary_sniff_all(spark, sf_dir).join(_documents(spark, sf_dir).where(F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7f]*\z")).select("doc_id"), "doc_id", "left_semi")
+
+
+@_query()
+def binary_sniff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents have a NUL among their first bytes, as the classifier finds them."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("00")).cast("string")).otherwise("")).cast("binary")
+    own = _table(spark, sf_dir, "documents").select("doc_id", F.lit("Plain Text").alias("language"), body.alias("body"))
+    return lines.classify(own, "body", "language", REGISTRY, ["doc_id"]).select("doc_id", "is_binary")
 
 
 # --- patterns and the cascade -----------------------------------------------------------------

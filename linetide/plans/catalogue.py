@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lines, reports, shebangs
@@ -350,8 +350,18 @@ def tracked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"SELECT path AS rel, CAST(doc_id AS VARCHAR) AS oid FROM {_SOURCES} WHERE doc_id % 14 = 0 AND doc_id % 4 <> 0")
 def clean_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries whose object may be read: the index less what has changed."""
-    own = _paths(spark, sf_dir).where("doc_id % 14 = 0").select(F.lit(0).alias("root"), F.col("path").alias("rel"), F.lit("100644").alias("mode"), F.col("doc_id").cast("string").alias("oid"), F.lit(0).alias("stage"), (F.col("doc_id") % 4 == 0).alias("dirty"))
+    """Index entries whose object may be read, of the ids whose made-up path is unique; clean_index_all takes every document."""
+    return _clean(_paths(spark, sf_dir).where("doc_id % 14 = 0"), F.col("path"))
+
+
+@_query()
+def clean_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index entries whose object may be read, of all documents: each path has the id behind it."""
+    return _clean(_paths(spark, sf_dir), F.concat("path", F.lit("."), F.col("doc_id").cast("string")))
+
+
+def _clean(paths: DataFrame, rel: Column) -> DataFrame:
+    own = paths.select(F.lit(0).alias("root"), rel.alias("rel"), F.lit("100644").alias("mode"), F.col("doc_id").cast("string").alias("oid"), F.lit(0).alias("stage"), (F.col("doc_id") % 4 == 0).alias("dirty"))
     return clean_objects(own).select("rel", "oid")
 
 

@@ -58,7 +58,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that spells out marks, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marks = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
-    return chat.read_back(chat.format_chats(rows.union(marks.coalesce(1))))
+    return chat.read_back(chat.format_chats(rows.union(marks.coalesce(1))), ordered=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,14 +77,16 @@ WITH rows AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
     UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), escaped AS (
+    SELECT *, replace(replace(role, '\', '\\'), '<|', '\l|') AS r, replace(replace(text, '\', '\\'), '<|', '\l|') AS t FROM rows
 ), formatted AS (
-    SELECT *, '<|turn|>' || replace(replace(role, '\', '\\'), '<|', '<\|') || '<|text|>' || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|end|>' || chr(10) AS formatted FROM rows
+    SELECT *, '<|turn|>' || CASE WHEN ends_with(r, '<') THEN r[:-2] || '\l' ELSE r END || '<|text|>' || CASE WHEN ends_with(t, '<') THEN t[:-2] || '\l' ELSE t END || '<|end|>' || chr(10) AS formatted FROM escaped
 )
 SELECT conv_id,
     count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, formatted)) AS turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(length(formatted)) AS BIGINT) AS formatted_chars,
     CAST(0 AS BIGINT) AS n_attachments,
     CAST(0 AS BIGINT) AS expanded_tokens

@@ -3,15 +3,16 @@
 A message is a list of parts: ``struct<type, text, ref, tokens>`` with type text, image,
 audio or document.  A visitor flattens the parts in order: text is escaped, any other part
 becomes a placeholder with its number, while its reference and the tokens it stands for
-are recorded.  One turn is::
+are recorded.  Attachments are numbered through a conversation.  One turn is::
 
     <|turn|>role<|text|>content<|end|>\\n
 
-No escaped string holds ``<|``: a backslash is doubled and ``<|`` becomes ``<\\|``, so a text that
-spells out marks comes back as it was.  The loss mask is the text of the assistant's parts.
+A backslash is doubled, and a ``<`` before ``|`` or at the end becomes ``\\l``: no escaped string holds ``<|`` or ends in
+``<``, so none forms a mark with what follows it, be it another part, and all come back as they were.  The loss mask is the
+text of the assistant's parts.
 
-Turns are formatted where they lie; a conversation is a run of sorted rows, read as a
-stream, so a conversation of any length needs the memory of a single turn.
+A conversation is a run of sorted rows, formatted and read as a stream, so a
+conversation of any length needs the memory of a single turn.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import SLICE_ROWS, arrow_map
+from .frames import SLICE_ROWS
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 KINDS = ("text", "image", "audio", "document")
@@ -38,13 +39,14 @@ _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 
 
 def escape(text: str) -> str:
-    """``text`` without control strings."""
-    return text.replace("\\", "\\\\").replace("<|", "<\\|")
+    """``text`` without control strings, nor the beginning of one at its end."""
+    text = text.replace("\\", "\\\\").replace("<|", "\\l|")
+    return f"{text[:-1]}\\l" if text.endswith("<") else text
 
 
 def unescape(text: str) -> str:
     """What :func:`escape` was given."""
-    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
+    return _ESCAPED.sub(lambda m: "<" if m[1] == "l" else m[1], text) if "\\" in text else text
 
 
 @dataclass
@@ -89,9 +91,9 @@ class PartVisitor:
         self._attach("document", part)
 
 
-def format_turn(role: str | None, parts: list[dict] | None, trained: str = "assistant") -> dict:
-    """Formatted text of a turn, its loss spans (code points, end exclusive), attachments and their tokens."""
-    visitor = PartVisitor()
+def format_turn(role: str | None, parts: list[dict] | None, trained: str = "assistant", first: int = 0) -> dict:
+    """Formatted text of a turn, its loss spans (code points, end exclusive), attachments (numbered from ``first``) and their tokens."""
+    visitor = PartVisitor(first)
     for part in parts or []:
         visitor.visit(part)
     head = f"{TURN}{escape(role or '')}{TEXT}"
@@ -138,37 +140,52 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     ``parts`` is an array of :data:`PART`; without it the column ``text`` is the only part.  Null
     texts, parts and part lists are empty, a null role is the empty role, a null conversation id
     is an id like any other.  Repeated rows are turns of their own.  Other columns are not kept.
+
+    Every conversation is one run of rows: by turn (null ones first), then role and parts.  Attachments are numbered in
+    this order from 0, so no two of a conversation share a placeholder.
     """
-    source = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), (text_part(F.col("text")) if parts is None else parts).alias("parts"))
+    text = text_part(F.coalesce(F.col("text").cast("string"), F.lit(""))) if parts is None else parts
+    source = df.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), text.alias("parts"))
+    source = source.repartition("conv").sortWithinPartitions("conv", "turn", "role", "parts")
+    schema = T.StructType([*source.select("conv", "turn").schema.fields, *FORMATTED.fields])
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct([("formatted", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("attachments", pa.list_(pa.struct([("number", pa.int32()), ("type", pa.string()), ("ref", pa.string()), ("tokens", pa.int64())]))), ("expanded_tokens", pa.int64())])
+        now, first = (), 0
+        for batch in batches:
+            for begin in range(0, batch.num_rows, SLICE_ROWS):
+                rows = batch.slice(begin, SLICE_ROWS)
+                made = []
+                for conv, role, own in zip(*(rows.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                    if now != (conv,):
+                        now, first = (conv,), 0
+                    made.append(format_turn(role, own, trained, first))
+                    first += len(made[-1]["attachments"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *pa.array(made, kind).flatten()], schema.fieldNames())
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            made = pa.array([format_turn(r, p, trained) for r, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)], kind)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made.flatten()], ["conv", "turn", *FORMATTED.fieldNames()])
-
-        return step
-
-    return arrow_map(source, make, T.StructType([*source.select("conv", "turn").schema.fields, *FORMATTED.fields]))
+    return source.mapInArrow(run, schema)
 
 
 def in_order(turns: DataFrame) -> DataFrame:
-    """Formatted turns with each conversation as one run of rows, by turn; equal turns by their text."""
+    """Formatted turns from a table with each conversation as one run of rows, by turn; equal turns by their text."""
     return turns.repartition("conv").sortWithinPartitions("conv", "turn", "formatted")
 
 
-def read_back(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+def read_back(turns: DataFrame, conv_col: str = "conv_id", ordered: bool = False) -> DataFrame:
     """One row per conversation, from its formatted text alone: n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_attachments, expanded_tokens.
 
     Digests are of role, newline, text, newline of every turn, and of the unescaped text under the
-    loss mask; attachments are not part of a turn's text.
+    loss mask; attachments are not part of a turn's text.  A null conversation id is an id like any other, a repeated
+    row a turn of its own, an empty table gives no rows, and other columns are not read.  ``ordered``: the turns are what
+    :func:`format_chats` returned, neither reread nor rearranged, so its runs are read where they lie.
     """
-    source = in_order(turns)
+    source = turns if ordered else in_order(turns)
+    source_names = source.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = out.fieldNames()
         state, done = None, []
+        places = [source_names.index(x) for x in ("conv", "formatted", "loss", "attachments", "expanded_tokens")]
 
         def close() -> None:
             if state:
@@ -177,7 +194,7 @@ def read_back(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, SLICE_ROWS):
                 rows = batch.slice(begin, SLICE_ROWS)
-                for conv, formatted, loss, attachments, tokens in zip(*(rows.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+                for conv, formatted, loss, attachments, tokens in zip(*(rows.column(at).to_pylist() for at in places), strict=True):
                     if state is None or state[0] != conv:
                         close()
                         state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
@@ -193,11 +210,11 @@ def read_back(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
                     state[6] += len(attachments)
                     state[7] += tokens
             if done:
-                yield _rows(done, names, batch.schema.field(0).type)
+                yield _rows(done, names, batch.schema.field(places[0]).type)
                 done = []
         close()
         if done:
-            yield _rows(done, names, batch.schema.field(0).type)
+            yield _rows(done, names, batch.schema.field(places[0]).type)
 
     out = T.StructType([T.StructField("conv", source.schema["conv"].dataType), T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), *(T.StructField(x, T.LongType()) for x in ("formatted_chars", "n_attachments", "expanded_tokens"))])
     return source.mapInArrow(run, out).withColumnRenamed("conv", conv_col)

@@ -24,37 +24,84 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (a local session) a temporary folder is made.
+    Only where that setting is missing and the master is local a temporary folder is made; a cluster without it is refused, as
+    its executors would each write to a disk of their own.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
         place = spark.sparkContext.getCheckpointDir()
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         place = "file://" + tempfile.mkdtemp(prefix="linetide-")
         spark.sparkContext.setCheckpointDir(place)
     return place
 
 
+#: Folders written by this driver and not removed yet.
+_PATHS: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage in a way that survives the loss of executors; the files go
-    when the driver's Python ends.
+    when :func:`settled` or :func:`replaced` says so, or the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linetide-{label}-{uuid.uuid4().hex}"
+    if not _PATHS:
+        atexit.register(remove, _PATHS)
+    _PATHS[path] = spark
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._linetide_path = path
+    return back
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The frame that ``make`` returns, written; what was written on the way to it is removed."""
+    before = set(_PATHS)
+    out = written(make(), label)
+    remove([p for p in _PATHS if p not in before and p != out._linetide_path])
+    return out
+
+
+def replaced(old: DataFrame | None, df: DataFrame, label: str) -> DataFrame:
+    """``df`` written; then the table ``old``, which nothing but ``df`` was made of any more, is removed."""
+    out = written(df, label)
+    if old is not None:
+        remove([old._linetide_path])
+    return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session may be gone already
-        pass
+def remove(paths) -> None:
+    """Deletes written folders; those of a session that has ended stay."""
+    for path in list(paths):
+        spark = _PATHS.pop(path, None)
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already
+            pass
+
+
+#: Rows of one key from which the key is joined apart, and how many keys may have that many.
+HOT_ROWS, HOT_KEYS = 100_000, 10_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the facts of their keys: one row for each key, of which ``n`` tells how many rows have it.
+
+    A key of very many rows would be one task of a shuffle.  Those with over a 10,000th of all rows (and over
+    :data:`HOT_ROWS`) are at most :data:`HOT_KEYS`, so their facts are sent to all tasks; the others meet by a shuffle.
+    """
+    total = facts.agg(F.sum(n)).first()[0] or 0
+    often = F.col(n) > max(HOT_ROWS, total // HOT_KEYS)
+    if facts.where(often).isEmpty():
+        return rows.join(facts.drop(n), keys)
+    hot = F.broadcast(facts.where(often).drop(n))
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(facts.where(often).select(*keys)), keys, "left_anti").join(facts.where(~often).drop(n), keys))
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType | str, rows: int = SLICE_ROWS) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import replaced, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (columns ``a``, ``b``, any order, repeats and loops allowed).
 
     ``root`` is the least node of the component.  Each round keeps at most as many edges as
-    there are and is written to the shared folder; no node's neighbours are gathered in one row,
+    there are and is written to the shared folder in place of the one before; no node's neighbours are gathered in one row,
     so a node with very many edges costs a skewed join that Spark splits.  Null ends are dropped.
     """
     now = written(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u is not null and v is not null").distinct(), "edges")
@@ -32,7 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.union(_least(both).select("u", F.col("m").alias("v"))).distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = down.join(_least(down), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(_least(down).select("u", F.col("m").alias("v")))
-        now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().select("v", "u"), "edges")
+        now = replaced(now, small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().select("v", "u"), "edges")
     raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from .frames import arrow_map, kept, two_columns
 from .sampling import least_hashes, remainder, text_of
-from .word_blocks import fast_bytes, split_words
+from .word_blocks import latin_bytes, split_letters
 
 #: Documents of each language that a fit takes at most; one in TUNE calibrates.
 SAMPLE, TUNE = 400, 5
@@ -54,15 +54,9 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def chunk_words(chunk: str) -> list[str]:
-    """Lower-case words of a text without white space."""
-    return _WORD.findall(chunk.lower())
-
-
-def _letters(key: bytes | str) -> str:
-    """The letters of a word as the word split leaves it: contractions without their apostrophe, nothing of numbers and marks."""
-    text = key.decode("latin-1").removeprefix("'") if type(key) is bytes else key
-    return text if text[:1].isalpha() else ""
+def words_of(text: str) -> list[str]:
+    """Lower-case words: runs of letters and their marks, whatever stands between them."""
+    return _WORD.findall(text.lower())
 
 
 def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
@@ -125,7 +119,7 @@ class CharacterModel:
                 value, found = grams.search(self.contexts[n - 1], n - 1, miss - 1)
                 out[miss] += np.where(found, value, 0.0)
             else:
-                out[at[~found]] += _UNSEEN
+                out[at[~found]] += _UNSEEN + self.contexts[0][1].sum()
         return out
 
     def threshold(self, words: np.ndarray) -> np.ndarray:
@@ -186,8 +180,10 @@ def _lower(probs, left, gram: str) -> float:
 
 def _table(values: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     """Strings of one length as sorted hashes, with the logs of their values."""
-    if not values or "" in values:
+    if not values:
         return np.zeros(0, dtype=np.uint64), np.zeros(0)
+    if "" in values:
+        return np.zeros(1, dtype=np.uint64), np.log([values[""]])
     n = len(next(iter(values)))
     codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     keys = gram_hashes(codes)[n - 1][n - 1 :: n]
@@ -201,12 +197,12 @@ def fit_language(texts: list[str]) -> CharacterModel:
     counts: Counter = Counter()
     for k, text in enumerate(texts):
         if few or k % TUNE:
-            counts.update(w for c in text.split() for w in chunk_words(c))
+            counts.update(words_of(text))
     model = fit_model(counts)
     means, words = [], []
     for k, text in enumerate(texts):
         if few or not k % TUNE:
-            own = [w for c in text.split() for w in chunk_words(c)]
+            own = words_of(text)
             if own:
                 codes, place, owner = word_codes(own)
                 cost = np.bincount(owner, -model.log_probs(Grams(codes), place))
@@ -219,7 +215,10 @@ def fit_language(texts: list[str]) -> CharacterModel:
 
 
 class Identifier:
-    """Scores texts under all models, with a table of the costs of known chunks."""
+    """Scores texts under all models, with a table of the costs of known words.
+
+    The words of Latin-1 texts are found as arrays, all others by the regular expression that the fit uses; both find the same.
+    """
 
     def __init__(self, models: dict[str, CharacterModel]):
         self.names = sorted(models)
@@ -232,16 +231,14 @@ class Identifier:
 
     def _learn(self, keys: list[bytes | str]) -> None:
         new = np.zeros((len(keys), len(self.names) + 2))
-        text = [_letters(k) for k in keys]
-        own = np.array([k for k, w in enumerate(text) if w], dtype=np.int64)
-        if len(own):
-            words = [text[k] for k in own]
+        if keys:
+            words = [k.decode("latin-1") if type(k) is bytes else k for k in keys]
             codes, place, word = word_codes(words)
             grams = Grams(codes)
             for k, m in enumerate(self.models):
-                new[own, k] = np.bincount(word, -m.log_probs(grams, place), minlength=len(own))
-            new[own, -2] = [len(w) + 1 for w in words]
-            new[own, -1] = 1
+                new[:, k] = np.bincount(word, -m.log_probs(grams, place), minlength=len(keys))
+            new[:, -2] = [len(w) + 1 for w in words]
+            new[:, -1] = 1
         first = len(self.row)
         while first + len(keys) > len(self.costs):
             self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
@@ -250,9 +247,9 @@ class Identifier:
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """For each text its cost under each model, its characters and its words."""
-        fast = [fast_bytes(t) for t in texts]
-        words, codes, edges = split_words([x for x in fast if x is not None])
-        slow = [None if f is not None else chunk_words(t) for t, f in zip(texts, fast, strict=True)]
+        fast = [latin_bytes(t) for t in texts]
+        words, codes, edges = split_letters([x for x in fast if x is not None])
+        slow = [None if f is not None else words_of(t) for t, f in zip(texts, fast, strict=True)]
         keys = [*words, *{w for own in slow if own for w in own}]
         new = [k for k in keys if k not in self.row]
         if len(self.row) + len(new) > _MOST:
@@ -292,11 +289,12 @@ class Identifier:
 def learn(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> dict[str, CharacterModel]:
     """A model for each language, from at most ``most`` documents of it that are not held out.
 
-    Null languages, null texts and null ids are left out, and so are languages whose sample has no letter.
+    Null languages, null texts and null ids are left out, and so are languages whose sample has no letter.  An id counts once for
+    each of its languages, however often it is repeated; of its texts the least is taken.
     """
     usable = documents.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT)
     sample = least_hashes(usable.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang")), "lang", "own", most)
-    rows = text_of(usable.select(F.col(id_col).alias("own"), F.col(text_col).cast("string").alias("text")), sample, "own").select("lang", F.xxhash64("own").alias("mark"), "text")
+    rows = text_of(usable.select(F.col(id_col).alias("own"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")), sample, ["own", "lang"]).select("lang", F.xxhash64("own").alias("mark"), "text")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [t for t in pdf.sort_values(["mark", "text"])["text"] if has_letter(t)]
@@ -348,7 +346,11 @@ def classify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_rejected(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``documents`` whose language is not rejected, as they were."""
+    """The rows of ``documents`` whose language is not rejected, as they were, with all their columns.
+
+    Texts that are null or have no letter are rejected, rows with null ids and repeated rows judged like any other; an
+    empty table gives no rows, and where no language was learned every row is rejected.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(learn(documents, id_col, text_col, lang_col))
     key = uuid.uuid4().hex
     at = documents.columns.index(text_col)

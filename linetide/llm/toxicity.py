@@ -11,6 +11,7 @@ document is scored over its whole text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import Memo, arrow_map, kept, two_columns
+from .frames import Memo, arrow_map, kept, two_columns, written
 from .sampling import least_hashes, remainder, text_of
 
 #: Labelled documents of each label that the fit takes at most.
@@ -31,6 +32,8 @@ SAMPLE = 4000
 FOLDS, HELD_OUT = 5, 0
 BITS = 20
 EPOCHS = 3
+#: Coordinates of a document in one row at most, while the fit reads them.
+PIECE = 1024
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 12.0, 0.1
 #: Odd multipliers of the hashes of pairs.
 _NEXT, _SKIP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -73,64 +76,112 @@ class Weights:
         return out
 
 
+class Learner:
+    """FTRL-proximal state of every coordinate: the bounded part of a fit, carried from epoch to epoch."""
+
+    def __init__(self, share: float, l1: float, z: np.ndarray | None = None, n: np.ndarray | None = None):
+        size = (1 << BITS) + 1
+        self.z = np.zeros(size) if z is None else z
+        self.n = np.zeros(size) if n is None else n
+        self.l1 = np.full(size, l1)
+        self.l1[-1] = 0
+        share = min(max(share, 1e-3), 1 - 1e-3)
+        self.cost = {1: 0.5 / share, 0: 0.5 / (1 - share)}
+
+    def weights(self, at: np.ndarray) -> np.ndarray:
+        own, l1 = self.z[at], self.l1[at]
+        return np.where(np.abs(own) <= l1, 0.0, -(own - np.sign(own) * l1) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2))
+
+    def learn(self, features: np.ndarray, label: int) -> None:
+        """One example: its distinct coordinates and its label."""
+        at = np.append(features, len(self.z) - 1)
+        w = self.weights(at)
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * self.cost[label]
+        root = np.sqrt(self.n[at])
+        self.n[at] += g * g
+        self.z[at] += g - (np.sqrt(self.n[at]) - root) / ALPHA * w
+
+    def model(self) -> Weights:
+        every = self.weights(np.arange(len(self.z)))
+        at = np.flatnonzero(every[:-1])
+        return Weights(at, every[at], float(every[-1]))
+
+
+#: What is known without examples: every score is near 0.
+UNLEARNED = Weights(np.zeros(0, dtype=np.int64), np.zeros(0), -8.0)
+
+
 def fit(examples: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Weights:
     """FTRL-proximal over ``(distinct coordinates, label)`` in the given order; without examples every score is near 0."""
     if not examples:
-        return Weights(np.zeros(0, dtype=np.int64), np.zeros(0), -8.0)
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
-    l1 = np.full(size, L1)
-    l1[-1] = 0
-
-    def weights(at: np.ndarray) -> np.ndarray:
-        own = z[at]
-        return np.where(np.abs(own) <= l1[at], 0.0, -(own - np.sign(own) * l1[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
-
-    share = min(max(sum(y for _, y in examples) / len(examples), 1e-3), 1 - 1e-3)
-    cost = {1: 0.5 / share, 0: 0.5 / (1 - share)}
+        return UNLEARNED
+    own = Learner(sum(y for _, y in examples) / len(examples), L1)
     for _ in range(epochs):
         for features, label in examples:
-            at = np.append(features, size - 1)
-            w = weights(at)
-            g = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * cost[label]
-            root = np.sqrt(n[at])
-            n[at] += g * g
-            z[at] += g - (np.sqrt(n[at]) - root) / ALPHA * w
-    all_w = weights(np.arange(size))
-    at = np.flatnonzero(all_w[:-1])
-    return Weights(at, all_w[at], float(all_w[-1]))
+            own.learn(features, label)
+    return own.model()
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> Weights:
     """Fits on at most ``most`` documents of each label, none of the held-out fold.
 
     Labels other than 0 and 1, and null ids, are left out; an id with several labels is toxic if one
-    of them is.  The sample is the documents with the least hashes of their ids, read in the order of other hashes: by the
-    same ones a rarer label would be left over at the end.
+    of them is, an id counts once however often it is repeated, and of its texts the least is taken.  The sample is the
+    documents with the least hashes of their ids, read in the order of other hashes: by the same ones a rarer label would be left
+    over at the end.  Every epoch reads the written coordinates as a sorted stream, in rows of :data:`PIECE`
+    at most, so a fit holds the state of the coordinates and one document, however long the documents are.
     """
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT).groupBy(id_col).agg(F.max(label_col).alias("label"))
-    ids = documents.select(F.col(id_col)).where(F.col(id_col).isNotNull())
-    sample = least_hashes(marked.join(ids, id_col, "left_semi"), "label", id_col, most).withColumnRenamed(id_col, "own")
+    spark = documents.sparkSession
+    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT).groupBy(F.col(id_col).alias("own")).agg(F.max(label_col).cast("int").alias("label"))
+    ids = documents.select(F.col(id_col).alias("own")).where(F.col(id_col).isNotNull()).distinct()
+    sample = least_hashes(marked.join(ids, "own", "left_semi"), "label", "own", most)
     texts = documents.select(F.col(id_col).alias("own"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = text_of(texts, sample, "own").select(F.xxhash64("own", F.lit("order")).alias("mark"), "text", F.col("label").cast("int").alias("label"))
+    rows = text_of(texts, sample, ["own"]).select(F.xxhash64("own", F.lit("order")).alias("mark"), F.col("own").cast("string").alias("name"), "text", "label")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Features()
         for batch in batches:
-            found = [np.unique(of(t)).astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], ["mark", "label", "features"])
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = [(np.asarray(f, dtype=np.int64), y) for batch in batches for f, y in zip(batch.column(2), batch.column(1).to_pylist(), strict=True) for f in [f.values.to_numpy()]]
-        w = fit(examples)
-        yield pa.RecordBatch.from_arrays([pa.array([*w.at.tolist(), -1], pa.int32()), pa.array([*w.weight.tolist(), w.bias], pa.float64())], ["at", "weight"])
+            for mark, name, text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = np.unique(of(text)).astype(np.int32)
+                cuts = [found[k : k + PIECE] for k in range(0, max(1, len(found)), PIECE)]
+                columns = [pa.array([mark] * len(cuts), pa.int64()), pa.array([name] * len(cuts)), pa.array(range(len(cuts)), pa.int32()), pa.array([label] * len(cuts), pa.int32()), pa.array(cuts, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["mark", "name", "piece", "label", "features"])
+
+    found = written(rows.mapInArrow(features, "mark bigint, name string, piece int, label int, features array<int>"), "features")
+    seen = {r["label"]: r["n"] for r in found.where("piece = 0").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if not seen:
+        return UNLEARNED
+    share = seen.get(1, 0) / sum(seen.values())
+    own = Learner(share, L1)
+    for _ in range(EPOCHS):
+        state = spark.sparkContext.broadcast((own.z, own.n))
+        r = found.repartition(1).sortWithinPartitions("mark", "name", "piece").mapInArrow(_epoch(state, share, L1), "z binary, n binary").first()
+        own = Learner(share, L1, *(np.frombuffer(zlib.decompress(r[k])).copy() for k in ("z", "n")))
+        state.unpersist()
+    return own.model()
+
+
+def _epoch(state, share: float, l1: float):
+    """One pass over the sorted pieces of documents: the state before it, as compressed bytes the state after it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z, n = state.value
+        own = Learner(share, l1, z.copy(), n.copy())
+        held: list[np.ndarray] = []
+        label = 0
+        for batch in batches:
+            values, ends = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+            for k, (piece, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                if piece == 0:
+                    if held:
+                        own.learn(np.concatenate(held), label)
+                    held, label = [], y
+                held.append(values[ends[k] : ends[k + 1]].astype(np.int64))
+        if held:
+            own.learn(np.concatenate(held), label)
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (own.z, own.n)], ["z", "n"])
 
-    found = rows.mapInArrow(features, "mark bigint, label int, features array<int>")
-    model = found.repartition(1).sortWithinPartitions("mark", "label").mapInArrow(train, "at int, weight double").toPandas()
-    if model.empty:
-        return fit([])
-    known = model[model["at"] >= 0].sort_values("at")
-    return Weights(known["at"].to_numpy(dtype=np.int64), known["weight"].to_numpy(), float(model.loc[model["at"] < 0, "weight"].iloc[0]))
+    return run
 
 
 def score(documents: DataFrame, weights: Weights, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +220,11 @@ def classify(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``documents`` that are not predicted toxic, as they were."""
+    """The rows of ``documents`` that are not predicted toxic, as they were, with all their columns.
+
+    A null text is judged as the empty one (by the bias alone); rows with null ids and repeated rows are judged like any
+    other; without a usable label every row stays, and an empty table gives no rows.
+    """
     weights = learn(documents, labels, id_col, text_col)
     shared = documents.sparkSession.sparkContext.broadcast(weights)
     names = documents.columns

@@ -1,4 +1,4 @@
-"""The word split of many texts at once, as arrays.
+"""The words of many texts at once, as arrays.
 
 Latin-1 texts in lower case are joined, their bytes looked up in a table of classes (letter,
 number, white space, other), and words found where the class changes: what the vocabulary's
@@ -26,24 +26,38 @@ def _class(c: str) -> int:
 
 
 _CLASS = np.array([_class(chr(k)) for k in range(256)], dtype=np.uint8)
+_LETTERS = _CLASS == _LETTER
 
 
 def fast_bytes(text: str) -> bytes | None:
     """The text in lower case as Latin-1 bytes; None if it has other characters, NULs, or may hold special strings."""
-    if "<" in text or "\0" in text:
-        return None
+    return None if "<" in text or "\0" in text else latin_bytes(text)
+
+
+def latin_bytes(text: str) -> bytes | None:
+    """The text in lower case as Latin-1 bytes; None if it has other characters."""
     try:
         return text.lower().encode("latin-1")
     except UnicodeEncodeError:
         return None
 
 
+def split_letters(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """As :func:`split_words`, of runs of letters alone."""
+    joined = b"\n".join(texts)
+    c = _LETTERS[np.frombuffer(joined + bytes(1), dtype=np.uint8)[:-1]]
+    start, last = c.copy(), c.copy()
+    start[1:] &= ~c[:-1]
+    last[:-1] &= ~c[1:]
+    begins = np.flatnonzero(start)
+    return _coded(joined, texts, begins, np.flatnonzero(last) + 1 - begins)
+
+
 def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, the number of each word in them, and where each text's words begin (and the last one's end)."""
     joined = b"\n".join(texts)
     n = len(joined)
-    padded = joined + bytes(_LONG + 8)
-    b = np.frombuffer(padded, dtype=np.uint8)
+    b = np.frombuffer(joined + bytes(2), dtype=np.uint8)
     c = _CLASS[b[:n]]
     start = c != _SPACE
     start[1:] &= (c[1:] != c[:-1]) | (c[1:] == _NUMBER)
@@ -60,7 +74,13 @@ def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray
     begins = np.flatnonzero(start)
     last = c != _SPACE
     last[:-1] &= (c[1:] == _SPACE) | start[1:]
-    lengths = np.flatnonzero(last) + 1 - begins
+    return _coded(joined, texts, begins, np.flatnonzero(last) + 1 - begins)
+
+
+def _coded(joined: bytes, texts: list[bytes], begins: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words among those that begin at some places of the joined texts, each word's number, and each text's first."""
+    n = len(joined)
+    padded = joined + bytes(_LONG + 8)
     if not len(begins):
         return [], np.zeros(0, dtype=np.int64), np.zeros(len(texts) + 1, dtype=np.int64)
     lanes = np.ndarray((n + _LONG + 1,), dtype="<u8", buffer=padded, strides=(1,))

@@ -174,8 +174,7 @@ def test_folds_are_by_crc(spark):
     assert sorted(r["g"] for r in small.collect()) == [0] * 4 + [1] * 4 + [2] * 4
 
 
-def test_toxicity_is_learned_and_held_out(labelled, monkeypatch):
-    monkeypatch.setattr(toxicity, "L1", 1.0)
+def test_toxicity_is_learned_and_held_out(labelled):
     docs, labels = labelled
     found = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     truth = {r[0]: r[5] for r in corpus()}
@@ -189,6 +188,65 @@ def test_toxicity_is_learned_and_held_out(labelled, monkeypatch):
     assert kept.columns == docs.columns and 1000 in {r["doc_id"] for r in kept.collect()}
 
 
+def plain_ftrl(examples, epochs):
+    """FTRL-proximal coordinate by coordinate, in the formulas of the published algorithm."""
+    z, n = {}, {}
+    share = sum(y for _, y in examples) / len(examples)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else toxicity.L1
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        sign = 1 if z[i] > 0 else -1
+        return -(z[i] - sign * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(epochs):
+        for features, y in examples:
+            own = {i: weight(i) for i in [*features, "bias"]}
+            g = (1 / (1 + np.exp(-sum(own.values()))) - y) * 0.5 / (share if y else 1 - share)
+            for i, w in own.items():
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - sigma * w
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def plain_coordinates(text):
+    """Words, neighbours and pairs with one word between, each hashed as the module states."""
+    words = re.findall(r"\w+", text.lower())
+    h = [toxicity.xxhash.xxh64_intdigest(w) for w in words]
+    mix = lambda a, b, odd: (((a * int(odd) + b) * int(toxicity._LAST)) % 2**64) >> (64 - toxicity.BITS)
+    return {x >> (64 - toxicity.BITS) for x in h} | {mix(a, b, toxicity._NEXT) for a, b in zip(h, h[1:])} | {mix(a, b, toxicity._SKIP) for a, b in zip(h, h[2:])}
+
+
+def test_weights_and_scores_equal_a_plain_fit(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "L1", 0.7)
+    monkeypatch.setattr(toxicity, "PIECE", 16)
+    rows = [(r[0], r[1] + (" lang" * 40 if r[0] == 3 else ""), r[5]) for r in corpus(90)] + [(500, "word " + " ".join(f"w{k}" for k in range(20_000)), 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(3)
+    learnt = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    marks = {r["doc_id"]: r["m"] for r in df.select("doc_id", F.xxhash64("doc_id", F.lit("order")).alias("m")).collect()}
+    examples = [(sorted(plain_coordinates(t)), y) for i, t, y in sorted(learnt, key=lambda r: marks[r[0]])]
+    want = plain_ftrl(examples, toxicity.EPOCHS)
+    for weights in (toxicity.learn(df.drop("toxic"), df.drop("text")), toxicity.fit([(np.array(f), y) for f, y in examples])):
+        found = dict(zip(weights.at.tolist(), weights.weight.tolist(), strict=True)) | {"bias": weights.bias}
+        assert set(found) == set(want) and all(abs(found[i] - want[i]) < 1e-9 for i in want)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(df, weights).collect()}
+    for i, t, _ in rows:
+        total = sum(want.get(k, 0.0) for k in plain_coordinates(t)) + want["bias"]
+        assert abs(scores[i] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_clashing_columns_and_repeated_rows_are_judged(labelled):
+    docs, labels = labelled
+    clashing = docs.withColumn("score", F.lit("s")).withColumn("held_out", F.lit(3)).withColumn("rejected", F.lit("r")).withColumn("own", F.lit(1)).withColumn("label", F.lit(1)).withColumn("n", F.lit(0)).withColumn("mark", F.lit("m"))
+    for before, after in ((toxicity.classify(docs, labels), toxicity.classify(clashing, labels)), (language_id.classify(docs), language_id.classify(clashing))):
+        assert before.columns == after.columns and sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
+        assert after.count() == docs.count()
+    for kept, plain in ((toxicity.without_toxic(clashing, labels), toxicity.without_toxic(docs, labels)), (language_id.without_rejected(clashing), language_id.without_rejected(docs))):
+        assert kept.columns == clashing.columns and kept.count() == plain.count()
+
+
 def test_feature_sums_equal_a_plain_sum():
     rng = np.random.default_rng(0)
     of = toxicity.Features()
@@ -212,6 +270,70 @@ def test_languages_are_learned_and_rejected(labelled):
     assert kept.columns == docs.columns and kept.where("doc_id between 1000 and 1003").count() == 0
 
 
+def plain_log_prob(words, history, char, order=5):
+    """Interpolated Kneser-Ney by its definition: counts at the highest order a context allows, distinct left neighbours below."""
+    marked = [f"\x02{w}\x03" for w in words]
+    grams = {}
+    for w in marked:
+        for t in range(1, len(w)):
+            g = w[max(0, t - order + 1) : t + 1]
+            grams[g] = grams.get(g, 0) + 1
+    for n in range(order, 1, -1):
+        for g in [g for g in grams if len(g) == n]:
+            grams[g[1:]] = grams.get(g[1:], 0) + 1
+
+    def discount(n):
+        ones, twos = (sum(c == k for g, c in grams.items() if len(g) == n) for k in (1, 2))
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones + twos else 0.5
+
+    def p(context):
+        if context is None:
+            return 1e-6
+        n = len(context) + 1
+        after = {g[-1]: c for g, c in grams.items() if len(g) == n and g[:-1] == context}
+        below = p(context[1:] if context else None)
+        if not after:
+            return below
+        d, total = discount(n), sum(after.values())
+        return max(after.get(char, 0) - (d if char in after else 0), 0) / total + d * len(after) / total * below
+
+    return np.log(p(f"\x02{history}"[-(order - 1) :]))
+
+
+def test_log_probs_are_those_of_the_definition():
+    rng = random.Random(17)
+    words = ["".join(rng.choice("aabcé") for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    model = language_id.fit_model(language_id.Counter(words))
+    for word in words[:12] + ["zz", "abz", "caba", "", "zabcabc"]:
+        codes, place, _ = language_id.word_codes([word])
+        found = model.log_probs(language_id.Grams(codes), place)
+        want = [plain_log_prob(words, word[:k], (word + "\x03")[k]) for k in range(len(word) + 1)]
+        assert np.allclose(found[1:], want, atol=1e-9, rtol=0), word
+
+
+def test_both_ways_to_find_words_agree():
+    rng = random.Random(19)
+    bits = ["rock'sound l'tre qu'delà", "'s", "x²", "ª", "µg", "A", "ß", "Ö", "1", "_", "<b>", "\x1c", "\0", "\xad", "\xa0", " ", "q" * 30, "don't", "''", "÷"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(800)] + ["", "a" * 100_000, "rock'sound l'tre qu'delà"]
+    identifier = language_id.Identifier({"a": language_id.fit_language(["the sound of rock and tre"] * 12), "b": language_id.fit_language(["qu delà de la mer"] * 12)})
+    fast = identifier.totals(texts)
+    assert np.allclose(fast, identifier.totals([t + "\u2026" for t in texts]), atol=1e-9)
+    assert fast[:, -1].tolist() == [len(language_id.words_of(t)) for t in texts]
+
+
+def test_samples_keep_their_bound_with_repeated_ids(spark):
+    docs = [(k, f"word{k} und", "de") for k in range(900)] + [(7, "kopie und", "de")] * 300 + [(10**9 + k, "the hot id of", "en") for k in range(3) for _ in range(3000)] + [(8, "auch the", "en")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    sample = sampling.least_hashes(df.select("doc_id", "lang"), "lang", "doc_id", 100)
+    assert sorted((r["lang"], r["n"]) for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()) == [("de", 100), ("en", 4)]
+    rows = sampling.text_of(df, sample, ["doc_id", "lang"])
+    assert rows.count() == 104 and rows.where("doc_id = 7 and text = 'word7 und'").count() == 0
+    assert set(language_id.learn(df)) == {"de", "en"}
+    labels = df.selectExpr("doc_id", "cast(lang = 'en' as int) as toxic")
+    toxic = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, toxicity.learn(df, labels, most=100)).collect()}
+    assert toxic[10**9] in (0, 1)
+
+
 def test_models_are_distributions():
     model = language_id.fit_language(["abab abba baab", "aab bba ab"] * 10)
     seen = set("ab") | {"\x03"}
@@ -241,8 +363,7 @@ def test_stages_pass_on_what_they_keep(spark, labelled, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
 
 
-def test_a_rare_label_is_not_left_over_at_the_end(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "L1", 1.0)
+def test_a_rare_label_is_not_left_over_at_the_end(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(60)]
     rows = [(k, " ".join(rng.choice(words) for _ in range(30)) + (" vilescum" if k % 12 == 0 else ""), int(k % 12 == 0)) for k in range(1800)]

@@ -1,18 +1,22 @@
 """Secret scan: three patterns, and strings that zstandard cannot predict in a sensitive context.
 
 The patterns find the known shapes.  The novelty method adds to them: every run of secret-like
-characters shortly after a sensitive word is compressed with a dictionary made of the text
-around it and of common identifiers.  Its marginal size (compressed with the candidate,
-less compressed without) is near its length for random strings, and small for
-identifiers, words, paths and anything the surrounding code says elsewhere.
+characters shortly after a sensitive word is compressed behind the text around it, with a dictionary of common
+identifiers.  Its marginal size (compressed with the candidate, less compressed without) is near its length for
+random strings, and smaller for identifiers, words, paths and anything the surrounding code says elsewhere.  The
+measure alone decides.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import statistics
+import string
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +33,16 @@ _HEX = re.compile(r"[0-9a-f]{16,}")
 
 SENSITIVE = ("auth", "bearer", "credential", "passphrase", "password", "passwd", "private_key", "privatekey", "pwd", "secret", "token", "api_key", "apikey", "access_key", "signature")
 _SENSITIVE = re.compile("|".join(sorted(map(re.escape, SENSITIVE), key=len, reverse=True)), re.IGNORECASE | re.ASCII)
-_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Characters from which a run is a candidate.
+LEAST = 16
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
+_SYMBOLS = (string.ascii_letters + string.digits).encode()
 #: Code points between a sensitive word and a candidate's start, and of text around it that primes the dictionary.
 NEAR, AROUND = 48, 512
-#: Marginal bytes for each byte of the candidate from which it counts as unpredictable.
-NOVEL = 0.85
+#: Marginal bytes from which a candidate counts as unpredictable: as a share of its length, or of what a random string of that length adds.
+NOVEL, LIKE_RANDOM = 0.75, 0.82
+#: Identifiers of each primer.
+PRIMED = (20, 25, 29)
 IDENTIFIERS = (
     "abstract access account address admin algorithm allocate amount application argument array assert async attribute auth authorization await backend base64 bearer "
     "binary boolean break buffer builder bytes cache callback catch certificate channel char class client cloud code collection column command comment commit config "
@@ -62,34 +71,71 @@ def base_spans(text: str) -> list[tuple[int, int, int, int]]:
     return sorted(out)
 
 
+def _primer(size: int) -> bytes:
+    """A line of identifiers in all spellings: what it costs to write letters, signs and numbers is known before a candidate is met."""
+    words = IDENTIFIERS.decode().split()
+    spell = ("_".join, lambda w: w[0] + "".join(map(str.title, w[1:])), lambda w: "".join(map(str.title, w)), "-".join, lambda w: "/" + "/".join(w), lambda w: "_".join(w).upper(), lambda w: f"{w[0]}_{w[1]}{len(w[2])}")
+    rows = [[words[(k * step + 5) % len(words)] for step in (11, 17, 29)] for k in range(size)]
+    return " ".join(spell[k % len(spell)](w) for k, w in enumerate(rows)).encode()
+
+
+@lru_cache(maxsize=1)
+def _packer() -> tuple[zstandard.ZstdCompressor, list[bytes]]:
+    """A compressor with the identifiers as its dictionary, and the primers."""
+    known = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False, write_dict_id=False), [_primer(n) for n in PRIMED]
+
+
 def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Compressed bytes that ``candidate`` adds where its surroundings and the identifiers are known."""
-    known = IDENTIFIERS + b"\n" + after.encode() + b"\n" + before.encode()
-    packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
+    """Compressed bytes that ``candidate`` adds where its surroundings and the identifiers are known: the median of several primers, as a single
+    one may lie where the coding changes its tables."""
+    packer, primers = _packer()
+    around, own = b"\n".join((b"", after.encode(), before.encode())), candidate.encode()
+    return statistics.median(len(packer.compress(p + around + own)) - len(packer.compress(p + around)) for p in primers)
+
+
+@lru_cache(maxsize=4096)
+def random_bytes(length: int) -> int:
+    """Marginal bytes of a random string of letters and digits: fewer than its length where it is long enough to be coded as symbols."""
+    stream = b"".join(xxhash.xxh64_digest(k.to_bytes(8, "big")) for k in range(length // 8 + 1))[:length]
+    return marginal_bytes(bytes(_SYMBOLS[x % len(_SYMBOLS)] for x in stream).decode(), "", "")
+
+
+def is_novel(text: str, start: int, end: int) -> bool:
+    """Whether a run of a text is as unpredictable as a random string."""
+    size = end - start
+    added = marginal_bytes(text[start:end], text[max(0, start - AROUND) : start], text[end : end + AROUND])
+    return added >= min(NOVEL * size, LIKE_RANDOM * random_bytes(size))
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Unpredictable runs that start shortly after a sensitive word, or right after a dot that ends such a run, and that no pattern's match overlaps."""
+    """Unpredictable runs that start shortly after a sensitive word and that no pattern's match overlaps.
+
+    Runs that a dot joins are measured one by one and together; what is unpredictable as a whole is so in every part.
+    Words, runs and matches are all met in the order of the text, each once.
+    """
     low = text.lower()
     if not any(x in low for x in SENSITIVE):
         return []
-    out, done = [], 0
+    out, done, met, reached = [], 0, 0, 0
     for word in _SENSITIVE.finditer(text):
         reach = word.end() + NEAR
         done = max(word.end(), done)
-        while (begin := _RUN.search(text, done, reach + 16)) and begin.start() <= reach:
-            run = _RUN.match(text, begin.start())
-            done = run.end()
-            if text[done : done + 1] == ".":
-                reach = max(reach, done + 1)
-            value = run.group()
-            if any(a < run.end() and run.start() < b for a, _, b, _ in base):
-                continue
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            if marginal_bytes(value, text[max(0, run.start() - AROUND) : run.start()], text[run.end() : run.end() + AROUND]) >= NOVEL * len(value):
-                out.append((run.start(), 3, run.end(), run.start()))
+        while (begin := _RUN.search(text, done, reach + LEAST)) and begin.start() <= reach:
+            parts = [begin.start()]
+            while True:
+                done = _RUN.match(text, parts[-1]).end()
+                parts.append(done)
+                if text[done : done + 1] != "." or not _RUN.match(text, done + 1):
+                    break
+                parts.append(done + 1)
+            whole = len(parts) > 2 and is_novel(text, parts[0], done)
+            for start, end in zip(parts[::2], parts[1::2], strict=True):
+                while met < len(base) and base[met][0] < end:
+                    reached = max(reached, base[met][2])
+                    met += 1
+                if reached <= start and (whole or is_novel(text, start, end)):
+                    out.append((start, 3, end, start))
     return out
 
 

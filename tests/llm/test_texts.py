@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -55,6 +56,64 @@ def test_every_run_near_a_sensitive_word_is_measured():
     assert secret_scan.find_spans("secret " + "x " * 40 + one) == []
 
 
+def plain_novel(text):
+    """Every run that starts within reach of any sensitive word, with the runs that dots join to it, held against every pattern's match."""
+    base = secret_scan.base_spans(text)
+    words = [m.end() for m in secret_scan._SENSITIVE.finditer(text)]
+    runs = [m for m in re.finditer("[A-Za-z0-9+/_=-]+", text)]
+    chains, taken = [], 0
+    for end in words:
+        for k, run in enumerate(runs):
+            start = max(run.start(), end)
+            if start < taken or start > end + secret_scan.NEAR or run.end() - start < secret_scan.LEAST:
+                continue
+            chain = [(start, run.end())]
+            for then in runs[k + 1 :]:
+                if then.start() != chain[-1][1] + 1 or text[chain[-1][1]] != "." or len(then[0]) < secret_scan.LEAST:
+                    break
+                chain.append(then.span())
+            chains.append(chain)
+            taken = chain[-1][1]
+    out = []
+    for chain in chains:
+        whole = len(chain) > 1 and secret_scan.is_novel(text, chain[0][0], chain[-1][1])
+        out += [(a, 3, b, a) for a, b in chain if not any(x < b and a < y for x, _, y, _ in base) and (whole or secret_scan.is_novel(text, a, b))]
+    return out
+
+
+def test_novel_spans_equal_a_plain_walk():
+    rng = random.Random(23)
+    letters = "".join(chr(c) for c in range(48, 123) if chr(c).isalnum())
+    bits = ["token", "Secret", "bearer ", "auth_", "password = ", ".", ": ", "\"", " ", "\n", "é", "authentication_handler", "AKIA" + "Z9" * 9, "0123456789abcdef", "identifier_name_of_it", "x " * 12]
+    found = 0
+    for _ in range(600):
+        text = "".join(rng.choice(bits) if rng.random() < 0.7 else "".join(rng.choice(letters) for _ in range(rng.randrange(10, 40))) for _ in range(rng.randrange(30)))
+        want = plain_novel(text)
+        found += len(want)
+        assert secret_scan.novel_spans(text, secret_scan.base_spans(text)) == want, text
+    assert found > 100
+
+
+def test_only_the_measure_decides():
+    rng = random.Random(29)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    strings = ["".join(rng.choice(letters) for _ in range(n)) for n in (20, 24, 40, 200, 1000) for _ in range(40)]
+    assert sum(secret_scan.is_novel(f"bearer {x}", 7, 7 + len(x)) for x in strings) >= 0.95 * len(strings)
+    assert secret_scan.find_spans("passphrase: qXkfPzLwTrNbVmHsJdYcGeUa")[0][:3] == (12, 3, 36)
+    one = "Zk3vQ9xLr7TbW2mNcY8sHd5f"
+    assert [s[:3] for s in secret_scan.find_spans(f"bearer module_name_identifier1 {one}")] == [(31, 3, 55)]
+    for name in ("authentication_handler", "AbstractTokenFactoryProvider", "internationalization_helper", "this-is-a-long-hyphenated-word", "/usr/local/share/zoneinfo", "-" * 40, "z" * 5000):
+        assert secret_scan.find_spans(f"bearer {name}") == []
+
+
+def test_many_secrets_in_one_text():
+    rng = random.Random(31)
+    text = "".join(f"token zzz {rng.getrandbits(120):x}zZ; password = {rng.getrandbits(90):x}\n" for _ in range(20_000))
+    began = time.perf_counter()
+    spans = secret_scan.find_spans(text)
+    assert len(spans) >= 20_000 and time.perf_counter() - began < 60
+
+
 def test_scan_of_all_rows(spark):
     rows = [(k, t) for k, t in enumerate(SECRETS)] + [(0, SECRETS[1]), (None, None)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id bigint, text string, spans int")

@@ -8,7 +8,8 @@ runs short.  The histogram has at most ``capacity`` entries and the plan a few p
 them, whatever the number of documents; the plan alone is broadcast.
 
 Every piece is numbered within its length: by a counter in its own partition, plus a
-prefix sum over the partitions' counts.  The number picks the bin and the place.
+prefix sum over the partitions' counts.  These grow with the input, so they meet the pieces by a shuffle at every size; a
+partition has no more pieces of a length than rows, so no key is hot.  The number picks the bin and the place.
 """
 
 from __future__ import annotations
@@ -160,7 +161,7 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places = df.sparkSession.sparkContext.broadcast(Places(best_two_fit(histogram, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = pieces.join(bases, ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number"), *(["ids"] if with_ids else []))
+    numbered = pieces.join(bases.hint("shuffle_hash"), ["part", "length"]).select("id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("base")).alias("number"), *(["ids"] if with_ids else []))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,34 +2,37 @@
 
 A fingerprint is eight positional bytes.  Two fingerprints that differ in at most two bits
 share at least six of them.  A list for a single byte would hold a 256th of all
-fingerprints, so the index is keyed by four positional bytes at once: the eight positions
-form four pairs, and the six unions of two pairs are such that whichever two bytes
-differ, one of the six lists is shared.  A pair met in a list has its shared positional
-bytes tallied, is retained at six or more, and is then verified by its differing bits.
+fingerprints, so a posting is keyed by four positional bytes at once, in the fourteen sets of four positions in which any
+three positions stand together just once.  The lists in which a pair meets are tallied: with six positional bytes in common a pair meets in
+three lists or more, with five in one, so pairs with :data:`MEETINGS` are retained and then verified by their differing bits.
 
-Only distinct fingerprints are indexed, so copies never meet.  Lists longer than
-:data:`LONG` are not paired at all: each member names its 65 centres (itself and itself with
+Only distinct fingerprints are indexed, so copies never meet.  The pairs of lists longer than
+:data:`LONG` are not formed: each member names its 65 centres (itself and itself with
 one bit flipped), and two members are within two bits exactly if they share a centre, so
 linking every member of a centre to its least member keeps all links' components.
 """
 
 from __future__ import annotations
 
-from itertools import repeat
+import uuid
+from functools import reduce
+from itertools import combinations, repeat
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import arrow_map, two_columns, written
+from .frames import arrow_map, join_facts, two_columns, written
 from .graph import components
+from .sampling import sent
 
 SEED = 42
-#: Bits in which linked fingerprints differ at most, and the positional bytes they then share at least.
-BITS, SHARED = 2, 6
+#: Bits in which linked fingerprints differ at most, and the lists they then meet in at least.
+BITS, MEETINGS = 2, 3
 #: Members up to which a list's pairs are formed.
 LONG = 32
 _BLOCK = 1 << 16
@@ -87,8 +90,8 @@ def _flip(bit: int) -> int:
     return 1 << bit if bit < 63 else -(1 << 63)
 
 
-#: Positional bytes of each of the six lists.
-LISTS = [_mask((2 * a, 2 * a + 1, 2 * b, 2 * b + 1)) for a in range(4) for b in range(a + 1, 4)]
+#: Positional bytes of each of the fourteen lists: four positions whose numbers cancel each other bit by bit.
+LISTS = [_mask(four) for four in combinations(range(8), 4) if reduce(xor, four) == 0]
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -98,15 +101,21 @@ def links(distinct: DataFrame) -> DataFrame:
     met = posts.join(sizes, ["list", "bytes"])
     short = met.where(F.col("n") <= LONG)
     other = short.select("list", "bytes", F.col("fp").alias("b"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((differ.bitwiseAND(F.lit(_mask((p,)))) == 0).cast("int") for p in range(8))
-    pairs = short.withColumnRenamed("fp", "a").join(other, ["list", "bytes"]).where("a < b").where(shared >= SHARED).where(F.bit_count(differ) <= BITS).select("a", "b")
+    tally = short.withColumnRenamed("fp", "a").join(other, ["list", "bytes"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("meetings"))
+    pairs = tally.where(F.col("meetings") >= MEETINGS).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
     long = met.where(F.col("n") > LONG).select("fp").distinct()
     centres = long.select("fp", F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_flip(k))) for k in range(64)))).alias("centre"))
     stars = centres.join(centres.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1"), "centre").where("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.union(stars)
 
 
+def _roots(prints: DataFrame) -> DataFrame:
+    """``fp``, ``n`` (rows that have it), ``least`` (their least id) and ``root`` (one fingerprint of the component)."""
+    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    roots = components(links(distinct.select("fp")))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per document: ``id_col``, fingerprint (16 hex digits), component_id (least id reachable).
 
@@ -116,27 +125,39 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows stay.  Other columns are not kept.
     """
     prints = written(fingerprints(df, id_col, text_col, shingle), "prints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(distinct.select("fp")))
-    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    joined = _roots(prints)
+    named = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "n", "component_id")
+    return join_facts(prints, written(named, "named"), ["fp"], "n").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def text_node(text_col: str) -> Column:
+    """A hash of a row's text, the same for a null and an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
-def least_rows(df: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id is its own component_id in ``named``.
+def one_of_each(df: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for each ``root`` of ``members`` (id, node as :func:`text_node`, root: a row for each of ``df``).
 
-    A repeated row of a kept id stays once.  Rows with a null id cannot be named, so all of them stay.  The ids of the kept
-    rows grow with the input, so they meet the rows by a shuffle at every size, in hash tables of ids.
+    It is the row with the least id, null ids last, and of several texts under that id the one with the least hash; of its copies one
+    stays.  So different texts under one id are rows of their own.  What is kept grows with the input, so it meets the rows by a
+    shuffle at every size, in hash tables of ids.
     """
-    keep = written(named.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("kept")).agg(F.count("*").alias("n")), "kept")
-    once, often = (keep.where(x).hint("shuffle_hash") for x in ("n = 1", "n > 1"))
-    own = df.join(once, df[id_col] == once["kept"], "left_semi")
+    each = members.groupBy("root", "id", "node").agg(F.count("*").alias("n"))
+    least = F.min_by(F.struct("id", "node", "n"), F.struct(F.col("id").isNull().alias("none"), "id", "node"))
+    node, own_id, own_node, n = (f"{x}_{uuid.uuid4().hex}" for x in ("node", "own_id", "own_node", "n"))
+    keep = written(each.groupBy("root").agg(least.alias("row")).select(F.col("row.id").alias(own_id), F.col("row.node").alias(own_node), F.col("row.n").alias(n)), "kept")
+    rows = df.withColumn(node, text_node(text_col))
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(node) == F.col(own_node))
+    once, often = keep.where(F.col(n) == 1).hint("shuffle_hash"), keep.where(F.col(n) > 1)
+    own = rows.join(once, same, "left_semi")
     if not often.isEmpty():
-        own = own.union(df.join(often, df[id_col] == often["kept"], "left_semi").dropDuplicates([id_col]))
-    return own.union(df.where(F.col(id_col).isNull()))
+        own = own.unionByName(rows.join(sent(often, "often", 10_000), same, "left_semi").dropDuplicates([id_col, node]))
+    return own.drop(node)
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """The rows of ``df`` of which no other has a near-duplicate's smaller id: one document of each group; see :func:`least_rows`."""
-    return least_rows(df, near_duplicates(df, id_col, text_col, shingle), id_col)
+    """One row of ``df`` for each group of near-duplicates, with all its columns; see :func:`one_of_each`."""
+    node = f"node_{uuid.uuid4().hex}"
+    rows = df.select(F.struct(F.col(id_col).alias("id"), text_node(text_col).alias("node")).alias(node), F.col(text_col).alias("text"))
+    prints = written(fingerprints(rows, node, "text", shingle).select("id.id", "id.node", "fp"), "prints")
+    return one_of_each(df, prints.join(_roots(prints).select("fp", "root"), "fp"), id_col, text_col)

@@ -1,12 +1,14 @@
 """Near-duplicates, components and exact search against brute force."""
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from linetide.llm import graph, simhash, topk, vector_dedup
+from linetide.llm import frames, graph, shingle_dedup, simhash, topk, vector_dedup
 
 
 def plain_components(nodes, links):
@@ -68,6 +70,41 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_the_tally_tells_how_many_bytes_are_shared():
+    places = [{p for p in range(8) if m >> (8 * p) & 0xFF} for m in simhash.LISTS]
+    assert len(places) == 14 and all(len(x) == 4 for x in places)
+    for n in range(9):
+        for same in map(set, combinations(range(8), n)):
+            met = sum(x <= same for x in places)
+            assert (met >= simhash.MEETINGS) == (n >= 6), same
+
+
+def test_texts_under_one_id_are_rows_of_their_own(spark):
+    rng = random.Random(12)
+    one, other, near = ([f"{c}{rng.randrange(900)}" for _ in range(300)] for c in "abc")
+    near = one[:150] + ["edited"] + one[151:]
+    rows = [(5, " ".join(one)), (5, " ".join(other)), (5, " ".join(one)), (5, " ".join(near)), (9, " ".join(one)), (None, " ".join(other)), (None, "z y x"), (None, "z y x"), (6, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, kept_id int")
+    for module in (simhash, shingle_dedup):
+        kept = module.without_near_duplicates(docs)
+        assert kept.columns == docs.columns
+        found = sorted((str(r["doc_id"]), (r["text"] or "")[:1]) for r in kept.collect())
+        if module is shingle_dedup:
+            assert found == [("5", "a"), ("5", "b"), ("6", ""), ("None", "z")]
+        else:
+            prints = {plain_fingerprint(t): (str(i), (t or "")[:1]) for i, t in reversed(rows)}
+            groups = set(plain_components(list(prints), [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2]).values())
+            assert len(found) == len(groups) and {("5", "a"), ("5", "b"), ("6", ""), ("None", "z")} <= set(found)
+
+
+def test_facts_of_hot_keys_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(frames, "HOT_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "case when id % 3 = 0 then 7 else id end as key")
+    facts = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    found = frames.join_facts(rows, facts, ["key"], "n")
+    assert sorted(map(tuple, found.select("id", "key", "least").collect())) == sorted((k, 7 if k % 3 == 0 else k, 0 if k % 3 == 0 else k) if k != 7 else (7, 7, 0) for k in range(1000))
+
+
 @pytest.mark.parametrize("long", [2, 32])
 def test_links_of_long_and_short_lists(spark, monkeypatch, long):
     monkeypatch.setattr(simhash, "LONG", long)

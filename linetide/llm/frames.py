@@ -59,9 +59,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
-def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """The frame that ``make`` returns, written; what was written on the way to it is removed."""
-    before = set(_PATHS)
+def settled(make: Callable[[], DataFrame], label: str, old: DataFrame | None = None) -> DataFrame:
+    """The frame that ``make`` returns, written; what was written on the way to it is removed, and so is the written table ``old`` that it came from."""
+    before = set(_PATHS) - ({old._linetide_path} if old is not None else set())
     out = written(make(), label)
     remove([p for p in _PATHS if p not in before and p != out._linetide_path])
     return out

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from linetide.llm import chat, language_id, sampling, secret_scan, toxicity
+from linetide.llm import chat, frames, language_id, sampling, secret_scan, toxicity
 
 PATTERNS = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("(password", "((?i:password").replace("key)", "key))", 1)), 2, 12),
@@ -413,7 +413,7 @@ def test_stages_pass_on_what_they_keep(spark, labelled, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     here = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before, here = here, corpus_pipeline.written(stage(spark, here, str(tmp_path)), name)
+        before, here = here, frames.written(stage(spark, here, str(tmp_path)), name)
         assert here.columns == docs.columns and here.count() <= before.count()
     ids = {r["doc_id"] for r in here.collect()}
     assert not ids & {1000, 1001, 1002, 1003}
@@ -422,6 +422,21 @@ def test_stages_pass_on_what_they_keep(spark, labelled, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
 
 
+def test_the_pipeline_on_empty_and_repeated_rows(spark, labelled, tmp_path):
+    docs, labels = labelled
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    labels.write.parquet(f"{tmp_path}/b/labels.parquet")
+    other = docs.where("doc_id in (1, 2)").withColumn("doc_id", F.lit(3).cast("bigint"))
+    docs.union(docs).union(other).withColumn("kept", F.lit("k")).write.parquet(f"{tmp_path}/b/documents.parquet")
+    before = len(frames._PATHS)
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/b").collect()
+    first = {r["doc_id"] for r in rows}
+    assert 3 in first and len(rows) >= len(first) and not first & {1000, 1001, 1002, 1003}
+    assert not [p for p in list(frames._PATHS)[before:] if "prints" in p or "simhash" in p or "language" in p or "toxicity" in p]
+
+
 def test_a_rare_label_is_not_left_over_at_the_end(spark):
     rng = random.Random(13)
     words = [f"w{k}" for k in range(60)]

@@ -3,14 +3,15 @@
 Components are quantised to integers.  The index is built in blocks of rows.  In a block, the
 postings (row, dimension, value) are laid out in segments by descending impact: the number
 of bits of the value's magnitude.  Queries go through the segments from the largest impact
-down and add up scores for all rows of the block.  After each segment, what is left of a row can change
-its score by no more than a bound from the segment's ceiling and from the norm of the row's
-remaining components.  A query stops only when that bound proves that all but a few rows are
+down and add up scores for the rows of the block: posting by posting where a segment is sparse, by one product where it holds so
+many postings that this is less work.  After a segment, what is left of a row can change
+its score by no more than a bound from the largest values left in each dimension and from the norm of the remaining
+components.  A query stops only when that bound proves that all but a few rows are
 outside its top k; those few are rescored exactly from the block's rows.  A query that finds no
 proof reads all segments, and its scores are exact as they are.
 
-Queries and blocks meet in blocks: the queries are cut into groups, and the index goes to each group once.
-Per query and block at most k rows leave a task.
+The queries are sent to the blocks in batches of bounded size, one after the other, so no block is moved or copied.
+Of each task at most k rows for each query are returned, whatever the number of its blocks.
 """
 
 from __future__ import annotations
@@ -26,22 +27,33 @@ from pyspark.sql import types as T
 from .frames import arrow_map, written
 from .vectors import rows_of
 
-#: Rows of an index block, queries of a group.
-ROWS, GROUP = 4096, 1024
-#: Rows per query, on average, that may be left to rescore when a query stops before the last segment.
-RESCORE = 32
+#: Rows of an index block, queries that go through its segments together, and bytes of queries sent at a time.
+ROWS, GROUP, BATCH = 4096, 1024, 16 << 20
+#: Rows of a block that may be left to rescore when a query stops before the last segment.
+RESCORE = 256
+#: Squared length from which a vector is refused.
+MOST = 2.0**62
+#: A segment's share of all postings below which it is read posting by posting, and the share of a block's squares that may be left
+#: where a proof is looked for.
+SPARSE, LEFT = 1 / 32, 0.05
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """``id``, ``dims`` and ``vector`` (floor of ``scale`` times each component, as 64-bit integers' bytes) of the vectors that take part."""
+    """``id``, ``dims`` and ``vector`` (floor of ``scale`` times each component, as 64-bit integers' bytes) of the vectors that take part.
+
+    Vectors so long that an inner product might not fit in 64 bits are refused.
+    """
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(F.col("id").isNotNull())
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = rows_of(batch.column(1))
             keep = [k for k, v in enumerate(found) if v is not None]
-            whole = [np.floor(found[k] * scale).astype(np.int64).tobytes() for k in keep]
-            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(x) // 8 for x in whole], pa.int32()), pa.array(whole, pa.binary())], ["id", "dims", "vector"])
+            whole = [np.floor(found[k] * scale) for k in keep]
+            for k, v in zip(keep, whole, strict=True):
+                if not (v * v).sum() < MOST:
+                    raise ValueError(f"the vector of id {batch.column(0)[k]} is too long for scores of 64 bits")
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array([len(x) for x in whole], pa.int32()), pa.array([x.astype(np.int64).tobytes() for x in whole], pa.binary())], ["id", "dims", "vector"])
 
         return step
 
@@ -49,62 +61,69 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) ->
 
 
 class ImpactIndex:
-    """Impact-ordered segments of one block of integer vectors."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        impact = np.where(rows != 0, np.floor(np.log2(np.maximum(np.abs(rows), 1))).astype(np.int64) + 1, 0)
-        self.impacts = [int(x) for x in np.unique(impact)[::-1] if x]
-        self.segments = []
-        for level in self.impacts:
+    """Impact-ordered segments of one block of integer vectors: numbers and ids of its rows."""
+
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, rows: np.ndarray):
+        self.numbers, self.ids, self.rows = numbers, ids, rows
+        size = np.abs(rows)
+        impact = np.where(rows != 0, np.frexp(size.astype(np.float64))[1], 0)
+        self.segments, self.left, self.rest = [], [], []
+        for level in [int(x) for x in np.unique(impact)[::-1] if x]:
             row, dim = np.nonzero(impact == level)
             self.segments.append((row, dim, rows[row, dim]))
-        self.total = (rows.astype(np.float64) ** 2).sum(axis=1)
-
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query number, row number and exact score of each query's best ``k`` rows here, its own left out; ties by the smaller id."""
+            below = np.where(impact < level, size, 0).astype(np.float64)
+            #: What is left after the segment: the largest value of each dimension, and each row's norm.
+            self.left.append(below.max(axis=0, initial=0))
+            self.rest.append(np.sqrt((below**2).sum(axis=1)))
+        self.total = (rows.astype(np.float64) ** 2).sum()
+
+    def _add(self, scores: np.ndarray, queries: np.ndarray, segment: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        """The scores with a segment's postings added."""
+        row, dim, value = segment
         n, dims = self.rows.shape
-        most = np.abs(self.rows).max(initial=0).astype(float) * np.abs(queries).max(initial=0) * max(dims, 1)
-        kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else object
-        q = queries.astype(kind)
+        if len(row) < SPARSE * n * dims:
+            at, starts = np.unique(row, return_index=True)
+            for k in range(0, len(queries), 32):
+                scores[k : k + 32, at] += np.add.reduceat(queries[k : k + 32, dim] * value.astype(queries.dtype), starts, axis=1)
+            return scores
+        dense = np.zeros((n, dims), dtype=queries.dtype)
+        dense[row, dim] = value
+        return scores + queries @ dense.T
+
+    def search(self, query_numbers: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query's place, row's place and exact score of each query's best ``k`` rows here, the row it is itself left out; ties by the smaller id."""
+        n, dims = self.rows.shape
+        most = float(np.abs(self.rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(dims, 1)
+        kind = np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
         whole = queries.astype(np.float64)
-        ones, norm = np.abs(whole).sum(axis=1), np.sqrt((whole**2).sum(axis=1))
+        size, norm = np.abs(whole), np.sqrt((whole**2).sum(axis=1))
+        q = queries.astype(kind)
         scores = np.zeros((len(q), n), dtype=kind)
-        own = query_ids[:, None] == self.ids[None, :]
-        rest = self.total.copy()
+        own = query_numbers[:, None] == self.numbers[None, :]
         open_ = np.arange(len(q))
         out = []
-        for at, (row, dim, value) in enumerate(self.segments):
-            segment = np.zeros((n, dims), dtype=kind)
-            segment[row, dim] = value
-            scores[open_] += q[open_] @ segment.T
-            rest -= np.bincount(row, value.astype(np.float64) ** 2, minlength=n)
-            if at + 1 == len(self.segments) or kind is object:
+        for at, segment in enumerate(self.segments):
+            scores = self._add(scores, q[open_], segment)
+            if at + 1 == len(self.segments) or kind is np.int64 or (self.rest[at] ** 2).sum() > LEFT * self.total:
                 continue
-            ceiling = float(2 ** (self.impacts[at + 1]) - 1)
-            bound = np.minimum(ceiling * ones[open_][:, None], norm[open_][:, None] * np.sqrt(np.maximum(rest, 0))[None, :]) * (1 + 1e-6) + 1
-            low, high = scores[open_] - bound, scores[open_] + bound
-            low[own[open_]], high[own[open_]] = -np.inf, -np.inf
-            if n > k:
-                edge = np.partition(low, n - k, axis=1)[:, n - k]
-                possible = high >= edge[:, None]
-            else:
-                possible = np.ones_like(high, dtype=bool)
+            bound = np.minimum(size[open_] @ self.left[at], norm[open_] * self.rest[at].max(initial=0)) * (1 + 1e-6) + 1
+            others = np.where(own[open_], np.array(-np.inf, dtype=kind), scores)
+            edge = np.partition(others, n - k, axis=1)[:, n - k].astype(np.float64) if n > k else np.full(len(open_), -np.inf)
+            possible = others >= np.nextafter((edge - 2 * bound).astype(kind), np.array(-np.inf, dtype=kind))[:, None]
             possible &= ~own[open_]
             proven = possible.sum(axis=1) <= RESCORE
             for j in np.flatnonzero(proven):
                 members = np.flatnonzero(possible[j])
                 out.append(self._best(open_[j], members, self.rows[members] @ queries[open_[j]], k))
-            open_ = open_[~proven]
+            open_, scores = open_[~proven], scores[~proven]
             if not len(open_):
                 break
-        for j in open_:
+        for j, exact in zip(open_, scores, strict=True):
             members = np.flatnonzero(~own[j])
-            exact = scores[j, members]
             if len(members) > k:
-                edge = np.partition(exact.astype(np.float64), len(members) - k)[len(members) - k]
-                members = members[exact.astype(np.float64) >= edge]
-            out.append(self._best(j, members, np.array([int(x) for x in scores[j, members]], dtype=np.int64), k))
+                edge = np.partition(exact[members], len(members) - k)[len(members) - k]
+                members = members[exact[members] >= edge]
+            out.append(self._best(j, members, exact[members], k))
         if not out:
             return (np.zeros(0, dtype=np.int64),) * 3
         return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
@@ -115,25 +134,37 @@ class ImpactIndex:
 
 
 def _blocks(vectors: DataFrame, size: int) -> DataFrame:
-    """Rows of ``size`` vectors each: dims, ids, vectors."""
+    """Rows of ``size`` vectors each: dims, numbers, ids, vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         for batch in batches:
-            for i, dims, v in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                ids, rows = held.setdefault(dims, ([], []))
-                ids.append(i)
-                rows.append(v)
-                if len(ids) == size:
-                    yield _block(dims, ids, rows)
+            for number, i, dims, v in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                own = held.setdefault(dims, ([], [], []))
+                for to, x in zip(own, (number, i, v), strict=True):
+                    to.append(x)
+                if len(own[0]) == size:
+                    yield _block(dims, *own)
                     del held[dims]
-        for dims, (ids, rows) in held.items():
-            yield _block(dims, ids, rows)
+        for dims, own in held.items():
+            yield _block(dims, *own)
+
+    def _block(dims: int, numbers: list, ids: list, rows: list) -> pa.RecordBatch:
+        columns = [np.array(numbers, dtype=np.int64).tobytes(), np.array(ids, dtype=np.int64).tobytes(), b"".join(rows)]
+        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], ["dims", "numbers", "ids", "vectors"])
+
+    return vectors.mapInArrow(run, "dims int, numbers binary, ids binary, vectors binary")
 
-    def _block(dims: int, ids: list, rows: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([np.array(ids, dtype=np.int64).tobytes()], pa.binary()), pa.array([b"".join(rows)], pa.binary())], ["dims", "ids", "vectors"])
 
-    return vectors.mapInArrow(run, "dims int, ids binary, vectors binary")
+def _least(found: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    """Of rows (query, score, id, number) the best ``k`` of each query."""
+    query, score, i, number = (np.concatenate([x[c] for x in found]) for c in range(4))
+    order = np.lexsort((number, i, -score, query))
+    query = query[order]
+    first = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+    rank = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query))))
+    order = order[rank < k]
+    return query[rank < k], score[order], i[order], number[order]
 
 
 def exact_top_k(df: DataFrame, queries: Callable[[Column], Column], k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
@@ -141,26 +172,52 @@ def exact_top_k(df: DataFrame, queries: Callable[[Column], Column], k: int = 5,
 
     The score is the inner product of floor(``scale`` * x), an integer; ties go to the smaller id; fewer than
     ``k`` candidates are all returned.  Vectors that are null or hold null or non-finite components take no
-    part, nor do rows with a null id; vectors of different lengths don't meet; a row never
-    meets rows of its own id.  Ids are integers.  Other columns are not kept.
+    part, nor do rows with a null id; vectors of different lengths don't meet; vectors whose scores might not fit in 64 bits are
+    refused.  Rows that repeat an id are queries and candidates of their own: only the query's own row is left out.  Ids are
+    integers.  Other columns are not kept.
     """
-    vectors = written(quantised(df, id_col, vector_col, scale), "vectors")
-    asked = vectors.where(F.coalesce(queries(F.col("id")), F.lit(False)))
+    spark = df.sparkSession
+    vectors = written(quantised(df, id_col, vector_col, scale).withColumn("number", F.monotonically_increasing_id()).select("number", "id", "dims", "vector"), "vectors")
+    asked = written(vectors.where(F.coalesce(queries(F.col("id")), F.lit(False))), "asked")
     index = written(_blocks(vectors, ROWS), "index")
-    groups = written(_blocks(asked.repartition(max(1, -(-asked.count() // GROUP))), GROUP).withColumn("group", F.monotonically_increasing_id()), "queries")
-    held = groups.groupBy("dims").agg(F.sort_array(F.collect_list("group")).alias("groups"))
-    pairs = index.join(held, "dims").select("dims", "ids", "vectors", F.explode("groups").alias("group"))
-    pairs = pairs.join(groups.select("group", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "group").select("dims", "ids", "vectors", "query_ids", "queries")
+    facts = asked.agg(F.sum(F.length("vector") + 16).alias("size")).first()
+    batches = max(1, -(-(facts["size"] or 0) // BATCH))
+    out = None
+    for k_batch in range(batches):
+        rows = asked.where(F.pmod(F.xxhash64("number"), F.lit(batches)) == k_batch).collect()
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for dims in {r["dims"] for r in rows}:
+            mine = [r for r in rows if r["dims"] == dims]
+            held[dims] = np.array([r["number"] for r in mine], dtype=np.int64), np.frombuffer(b"".join(r["vector"] for r in mine), dtype=np.int64).reshape(len(mine), dims)
+        shared = spark.sparkContext.broadcast(held)
+        found = index.mapInArrow(_search(shared, k), "query bigint, score bigint, id bigint, number bigint")
+        if batches > 1:
+            found = written(found, "found")
+            shared.unpersist()
+        out = found if out is None else out.union(found)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "id", "number")
+    ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    names = asked.select(F.col("number").alias("query"), F.col("id").alias("query_id"))
+    return ranked.join(names, "query").select("query_id", "rank", F.col("id").alias(id_col), "score")
+
+
+def _search(shared, k: int):
+    """The best rows of a task's blocks for a batch of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for dims, ids, rows, query_ids, asked_rows in zip(*(batch.column(i) for i in range(5)), strict=True):
-                d = dims.as_py()
-                own, asks = np.frombuffer(ids.as_py(), dtype=np.int64), np.frombuffer(query_ids.as_py(), dtype=np.int64)
-                block = ImpactIndex(own, np.frombuffer(rows.as_py(), dtype=np.int64).reshape(len(own), d))
-                found = block.search(asks, np.frombuffer(asked_rows.as_py(), dtype=np.int64).reshape(len(asks), d), k)
-                yield pa.RecordBatch.from_arrays([pa.array(asks[found[0]]), pa.array(own[found[1]]), pa.array(found[2])], ["query_id", "id", "score"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    found = pairs.mapInArrow(run, "query_id bigint, id bigint, score bigint").withColumn("rank", F.row_number().over(best))
-    return found.where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+            for dims, numbers, ids, rows in zip(*(batch.column(i) for i in range(4)), strict=True):
+                if dims.as_py() not in shared.value:
+                    continue
+                asks, vectors = shared.value[dims.as_py()]
+                own, own_ids = (np.frombuffer(x.as_py(), dtype=np.int64) for x in (numbers, ids))
+                block = ImpactIndex(own, own_ids, np.frombuffer(rows.as_py(), dtype=np.int64).reshape(len(own), dims.as_py()))
+                for a in range(0, len(asks), GROUP):
+                    query, row, score = block.search(asks[a : a + GROUP], vectors[a : a + GROUP], k)
+                    found.append((asks[a : a + GROUP][query], score, own_ids[row], own[row]))
+                found = [_least(found, k)]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found[0]], ["query", "score", "id", "number"])
+
+    return run

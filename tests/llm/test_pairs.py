@@ -143,32 +143,47 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert vector_dedup.near_duplicates(df.where("false")).count() == 0
 
 
-def test_top_k_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("batch", [1 << 24, 900])
+def test_top_k_equals_brute_force(spark, monkeypatch, batch):
     monkeypatch.setattr(topk, "ROWS", 64)
-    monkeypatch.setattr(topk, "GROUP", 5)
+    monkeypatch.setattr(topk, "BATCH", batch)
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(400, 24)) * 0.15
     vectors[100:120] = vectors[100]
-    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(1000, [3e3] * 24), (1050, [-3e3] * 24)]
+    rows = [(k, v.tolist()) for k, v in enumerate(vectors)] + [(1000, [3e3] * 24), (1050, [-3e3] * 24), (50, vectors[7].tolist()), (50, vectors[50].tolist())]
     bad = [(5000, None), (5050, [None] * 24), (5100, [float("nan")] * 24), (None, [0.1] * 24), (5150, [1.0, 2.0]), (5200, [-1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows + bad], "vec_id bigint, embedding array<double>, rank int").repartition(3)
     found = sorted(tuple(r) for r in topk.exact_top_k(df, lambda i: i % 50 == 0).collect())
     want = []
     for group in (rows, bad[4:]):
-        q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in group}
-        for i in q:
+        q = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in group]
+        for n, (i, v) in enumerate(q):
             if i % 50 == 0:
-                best = sorted(((-int(q[i] @ q[j]), j) for j in q if j != i))[:5]
-                want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+                best = sorted((-int(v @ w), j) for m, (j, w) in enumerate(q) if m != n)[:5]
+                want += [(i, rank, j, -s) for rank, (s, j) in enumerate(best, 1)]
     assert found == sorted(want)
     assert topk.exact_top_k(df.where("false"), lambda i: i % 50 == 0).count() == 0
 
 
-def test_search_stops_on_proof_and_is_exact():
+def test_vectors_too_long_for_a_score_are_refused(spark):
+    with pytest.raises(Exception, match="too long"):
+        topk.exact_top_k(spark.createDataFrame([(0, [1e17]), (50, [1.0])], "vec_id bigint, embedding array<double>"), lambda i: i % 50 == 0).collect()
+
+
+@pytest.mark.parametrize("scale", [3, 60, 10**5, 10**8])
+def test_search_stops_on_proof_and_is_exact(scale):
     rng = np.random.default_rng(1)
     rows = rng.integers(-3, 4, size=(500, 16))
     rows[:5] = 200
-    index = topk.ImpactIndex(np.arange(500), rows)
-    queries = np.full((1, 16), 100)
-    found = index.search(np.array([-1]), queries, 5)
+    index = topk.ImpactIndex(np.arange(500), np.arange(500), rows)
+    found = index.search(np.array([-1]), np.full((1, 16), 100), 5)
     assert sorted(found[1].tolist()) == [0, 1, 2, 3, 4] and set(found[2].tolist()) == {16 * 200 * 100}
+    rows = (rng.normal(size=(700, 12)) * scale).astype(np.int64)
+    rows[rng.random(rows.shape) < 0.4] = 0
+    ids = rng.permutation(700)
+    index = topk.ImpactIndex(np.arange(700), ids, rows)
+    for k in (1, 5, 900):
+        query, row, score = index.search(np.arange(40), rows[:40], k)
+        for q in range(40):
+            want = sorted((-int(rows[q] @ rows[j]), int(ids[j])) for j in range(700) if j != q)[:k]
+            assert sorted((-int(s), int(ids[j])) for x, j, s in zip(query, row, score) if x == q) == want

@@ -128,7 +128,10 @@ def token_regex(language: Language) -> str:
     kinds += [rf"{_q(a)}(?:\\[\s\S]|(?!{_q(b)})[^\\])*+(?:{_q(b)})?" for a, b in language.multi]
     kinds += [rf"{_q(a)}[\s\S]*?(?:{_q(b)}|\z)" for a, b in language.raw]
     kinds += [rf"{_q(a)}(?:\\[^\n]|(?!{_q(b)})[^\\\n])*+(?:{_q(b)})?" for a, b in language.quotes]
-    return "|".join([*kinds, r"[ \t]+", r"\n", r"[\s\S]"])
+    openers = sorted({x[0] for pairs in (language.block, language.multi, language.raw, language.quotes) for x, _ in pairs if x} | {x[0] for x in language.line if x})
+    begin = "".join(map(_q, openers))
+    # What begins with no opener's first character and holds none is one token of code, not one for each character.
+    return "|".join([*kinds, rf"[^{begin} \t\n][^{begin}\n]*+", r"[ \t]+", r"\n", r"[\s\S]"])
 
 
 def blank(line: Column) -> Column:

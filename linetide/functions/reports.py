@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
+#: Parts into which the files of one content are dealt.
+PARTS = 256
 MEASURES = ("files", "lines", "blank", "comment", "code")
 
 
@@ -67,11 +69,15 @@ def with_total(files: DataFrame) -> DataFrame:
 def unique_contents(files: DataFrame, digest: str = "sha256", path: str = "path") -> DataFrame:
     """One file of each content: the one with the least path; adds duplicate_of, null for those that stay.
 
-    The least path of each digest is aggregated before it is joined back, so a content that very many files share
-    is no task of its own.
+    The least path is found for parts of a digest's files, then for the digest, and joined back by part: a content that a third of
+    all files share is dealt out over :data:`PARTS` tasks.
     """
-    first = files.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(path).alias("_first"))
-    return files.join(first, digest, "left").withColumn("duplicate_of", F.when(F.col("_first") < F.col(path), F.col("_first"))).drop("_first")
+    part = F.pmod(F.xxhash64(path), F.lit(PARTS)).alias("_part")
+    known = files.where(F.col(digest).isNotNull())
+    parts = known.groupBy(digest, part).agg(F.min(path).alias("_least"), F.count("*").alias("_n"))
+    first = parts.groupBy(digest).agg(F.min("_least").alias("_first"), F.sum("_n").alias("_n")).where("_n > 1").drop("_n")
+    firsts = parts.select(digest, "_part").join(first, digest)
+    return files.withColumn("_part", part).join(firsts, [digest, "_part"], "left").withColumn("duplicate_of", F.when(F.col("_first") < F.col(path), F.col("_first"))).drop("_first", "_part")
 
 
 def build(files: DataFrame, excluded: DataFrame | None = None, by_file: bool = False) -> Report:

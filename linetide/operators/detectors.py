@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import BadGlob, java, segment_regex
-from .ignore_files import ancestors
+from .ignore_files import ancestors, sent_if_few
 
 
 @dataclass(frozen=True)
@@ -109,7 +109,7 @@ class Detectors:
         last = java("|".join(sorted({r[5] for r in rules})))
         found = entries.where(F.col("is_dir") & F.col("name").rlike(last)).select("root", "rel", F.explode(ancestors(F.col("rel"))).alias("up"))
         found = found.select("root", "rel", F.col("up.dir").alias("dir"), F.col("up.depth").alias("depth"))
-        scoped = found.join(self._hits(entries, "markers"), ["root", "dir"])
+        scoped = found.join(sent_if_few(self._hits(entries, "markers"))[0], ["root", "dir"])
         table = F.broadcast(spark.createDataFrame([(k, j, name, rf"(?s)\A(?:.*/)?{core}\z", n) for k, j, name, core, n, _ in rules], "det_ord int, rule_ord int, detector string, regex string, n int"))
         matched = scoped.join(table, "det_ord").where(F.expr("size(split(rel, '/')) - depth >= n and rel rlike regex"))
         return matched.groupBy("root", "rel").agg(F.min_by("detector", F.struct(-F.col("depth"), F.col("det_ord"), F.col("rule_ord"))).alias("detector"))

@@ -67,14 +67,37 @@ def ancestors(rel: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(segments) - 1), lambda n: F.struct(F.array_join(F.slice(segments, F.lit(1), n), "/").alias("dir"), n.alias("depth")))
 
 
+#: Rules, and marked directories, up to which they are sent to all tasks.
+FEW = 100_000
+
+
+def sent_if_few(df: DataFrame, most: int = FEW) -> tuple[DataFrame, bool]:
+    """``df`` kept, and marked for broadcast if it has at most ``most`` rows; whether it is."""
+    kept = df.persist()
+    few = kept.limit(most + 1).count() <= most
+    return (F.broadcast(kept) if few else kept), few
+
+
 def ignored(entries: DataFrame, rules: DataFrame) -> DataFrame:
     """``root, rel, ignored_by`` of the ignored entries (columns root, rel, is_dir); rules have root, dir and :data:`RULES`.
 
-    Each entry meets the rules of the directories it lies in: an equi-join on the directory, so entries with
-    no ignore file above them cost nothing.
+    Each entry meets the rules of the directories it lies in.  Up to :data:`FEW` rules go to all tasks, so no entry is moved to meet
+    them.  More rules are brought together for each directory that holds entries, and the entries meet those of their own
+    directory: not even the rules of a root gather its entries in one task.
     """
-    below = entries.select("root", "rel", "is_dir", F.explode(ancestors(F.col("rel"))).alias("up")).select("root", "rel", "is_dir", F.col("up.dir").alias("dir"), F.col("up.depth").alias("depth"))
-    met = below.join(rules, ["root", "dir"])
+    rules, few = sent_if_few(rules)
+    own = entries.select("root", "rel", "is_dir")
+    if few:
+        below = own.select("*", F.explode(ancestors(F.col("rel"))).alias("up")).select("root", "rel", "is_dir", F.col("up.dir").alias("dir"), F.col("up.depth").alias("depth"))
+        met = below.join(rules, ["root", "dir"])
+    else:
+        parent = F.expr("substring(rel, 1, greatest(length(rel) - length(substring_index(rel, '/', -1)) - 1, 0))")
+        placed = own.withColumn("_parent", parent)
+        above = placed.select("root", "_parent").distinct().select("root", "_parent", F.explode(ancestors(F.concat("_parent", F.when(F.col("_parent") == "", "").otherwise("/"), F.lit("x")))).alias("up"))
+        above = above.select("root", "_parent", F.col("up.dir").alias("dir"), F.col("up.depth").alias("depth")).join(rules, ["root", "dir"])
+        names = ["dir", "depth", *RULES.fieldNames()]
+        gathered = above.groupBy("root", "_parent").agg(F.collect_list(F.struct(*names)).alias("_rules"))
+        met = placed.join(gathered, ["root", "_parent"]).select("root", "rel", "is_dir", F.explode("_rules").alias("_rule")).select("root", "rel", "is_dir", "_rule.*")
     sub = F.when(F.col("dir") == "", F.col("rel")).otherwise(F.expr("substring(rel, length(dir) + 2)"))
     subject = F.when(F.col("rooted"), sub).otherwise(F.substring_index("rel", "/", -1))
     hit = met.withColumn("_subject", subject).where((~F.col("dir_only") | F.col("is_dir")) & F.expr("_subject rlike regex"))

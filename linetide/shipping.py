@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     _SENT.add(context.applicationId)
     package = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="linetide-code-")) / "linetide.zip"
+    folder = Path(tempfile.mkdtemp(prefix="linetide-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = folder / "linetide.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))

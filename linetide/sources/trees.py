@@ -1,7 +1,7 @@
 """File trees: a data source that lists them, and a reader of contents.
 
 Paths must be visible to the executors (shared storage on a cluster).  A tree is listed from its
-top-level directories in parallel; directories of version control systems are listed as
+directories in parallel, found breadth first; directories of version control systems are listed as
 entries but not entered, as no option ever enters them.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import stat
+from collections import deque
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ENTRY = "root int, prefix string, abs string, rel string, kind string, size bigint, error string"
 _STAY_OUT = (".git", ".hg", ".svn", ".bzr")
+#: Tasks that a listing is dealt out to, if the trees have so many directories.
+TARGET = 256
 
 
 class _Below(InputPartition):
@@ -55,15 +58,19 @@ class _TreeReader(DataSourceReader):
         self.roots = roots
 
     def partitions(self):
-        out = []
-        for k, prefix, top in self.roots:
-            out.append(_Below(k, prefix, top, "", False))
+        """Breadth first, until there are :data:`TARGET` directories to list with all that is below them."""
+        out, todo = [], deque((k, prefix, top, "") for k, prefix, top in self.roots)
+        while todo and len(todo) < TARGET:
+            k, prefix, top, rel = todo.popleft()
+            out.append(_Below(k, prefix, top, rel, False))
+            place = os.path.join(top, rel) if rel else top
             try:
-                names = sorted(os.listdir(top))
+                with os.scandir(place) as found:
+                    names = sorted(e.name for e in found if e.name not in _STAY_OUT and e.is_dir(follow_symlinks=False))
             except OSError:
                 continue
-            out += [_Below(k, prefix, top, n, True) for n in names if n not in _STAY_OUT and stat.S_ISDIR(os.lstat(os.path.join(top, n)).st_mode)]
-        return out
+            todo.extend((k, prefix, top, f"{rel}/{n}" if rel else n) for n in names)
+        return out + [_Below(*x, True) for x in todo]
 
     def read(self, partition):
         yield from _rows(partition)
@@ -102,7 +109,8 @@ def follow_trees(spark: SparkSession, roots: list[tuple[int, str, str]], skip) -
     seen: set[str] = set()
     rows = []
 
-    def walk(k: int, prefix: str, top: str, rel: str) -> None:
+    def entered(k: int, prefix: str, top: str, rel: str):
+        """What is in a directory that was not entered before; adds its row and gives the directories in it, one by one."""
         place = os.path.join(top, rel) if rel else top
         real = os.path.realpath(place)
         if real in seen:
@@ -124,10 +132,16 @@ def follow_trees(spark: SparkSession, roots: list[tuple[int, str, str]], skip) -
             kind = kind_of(found.st_mode)
             rows.append((k, prefix, path, own, kind, found.st_size if kind == "file" else None, None))
             if kind == "dir" and not skip(name, own):
-                walk(k, prefix, top, own)
+                yield own
 
     for k, prefix, top in roots:
-        walk(k, prefix, top, "")
+        open_ = [entered(k, prefix, top, "")]
+        while open_:
+            rel = next(open_[-1], None)
+            if rel is None:
+                open_.pop()
+            else:
+                open_.append(entered(k, prefix, top, rel))
     return spark.createDataFrame(rows, ENTRY)
 
 

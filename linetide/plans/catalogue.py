@@ -17,7 +17,7 @@ from ..functions.languages import Language, Registry
 from ..operators import cascade, ignore_files
 from ..operators.detectors import Detectors
 from ..sources.git import clean_objects
-from . import scan
+from . import scan, scan_catalogue
 
 REGISTRY = Registry.builtin()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,7 +53,11 @@ SQL_TEXT = """concat('-- ', replace(replace(coalesce(text, ''), '. ', chr(10)),
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("doc_id is not null")
+    """All documents; a null id counts as -1."""
+    return _table(spark, sf_dir, "documents").withColumn("doc_id", F.coalesce("doc_id", F.lit(-1).cast("bigint")))
+
+
+_DOCUMENTS = "(SELECT * REPLACE (coalesce(doc_id, -1) AS doc_id) FROM documents)"
 
 
 # --- line counts ------------------------------------------------------------------------------
@@ -146,7 +150,7 @@ def loc_html_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _made(name: str, language: str, text: str, form: Callable) -> None:
-    sql = _sql_lexer(text, "(SELECT * FROM documents WHERE doc_id IS NOT NULL)", "doc_id", REGISTRY.languages[language])
+    sql = _sql_lexer(text, _DOCUMENTS, "doc_id", REGISTRY.languages[language])
 
     def own(spark: SparkSession, sf_dir: str) -> DataFrame:
         return form(_documents(spark, sf_dir).select("doc_id", F.expr(text.replace("\\", "\\\\")).alias("body")), "body", language, "doc_id")
@@ -172,15 +176,14 @@ def _values(rows: list[tuple], columns: str) -> str:
 
 #: Snippets whose counts are known: name, language, text, blank, comment, code.
 GOLDEN = [
-    ("basics", "Go", "package main\n\n// comment\nfunc main() {}\n", 1, 1, 2), ("block", "Go", "/*\nlicense\n*/\npackage main\n", 0, 3, 1),
-    ("after code", "Go", "x := 1 /* trailing\nstill comment */\n", 0, 1, 1), ("raw string", "Go", "s := `\n// inside raw string\n`\n", 0, 0, 3),
-    ("docstring", "Python", 'def f():\n    """docstring\n    # not a comment\n    """\n    return 1\n', 0, 0, 5),
-    ("nested", "Rust", "/* outer /* inner */ still comment */\nfn main() {}\n", 0, 1, 1), ("deep", "Haskell", "{- a {- b\n-} c\n-} x\ny\n", 0, 2, 2),
-    ("crlf", "Go", "package main\r\n\r\n// c\r\n", 1, 1, 1), ("bom", "Go", "\ufeffpackage main\n", 0, 0, 1), ("blank in block", "Go", "/*\n\n*/\n", 1, 2, 0),
-    ("unterminated", "Go", 's := "unterminated\n// next line comment\n', 0, 1, 1), ("lua", "Lua", "--[[ block\ncomment ]]\nprint('x')\n", 0, 2, 1),
-    ("m4", "M4", "define(`value', `# not comment')\ndnl comment\nvalue\n", 0, 1, 2), ("stata", "Stata", "* comment\ngenerate x = a * b\n// comment\n", 0, 2, 1),
-    ("slash star slash", "Go", "/*/\nx\n", 0, 2, 0), ("comment then code", "Go", "/* c */ x\n", 0, 0, 1), ("empty", "Go", "", 0, 0, 0), ("same ends", "CoffeeScript", "###\na\n###\nx\n", 0, 3, 1),
-    ("plain", "Plain Text", "a\n\n b", 1, 0, 2), ("nbsp", "Go", "\u00a0\n\u00a0// c\n", 1, 0, 1),
+    ("remark above", "Go", "// adds two\nfunc add(a, b int) int {\n\n\treturn a + b\n}\n", 1, 1, 3), ("long remark", "Java", "/* one\n   two\n\n   three */\nint n;\n", 1, 3, 1),
+    ("remark that begins behind code", "C", "n++; /* counts\n rows */ n--;\n/* end */\n", 0, 1, 2), ("raw text", "Go", "var t = `first\n// second\n/* third`\n// out\n", 0, 1, 3),
+    ("triple quotes", "Python", "x = \"\"\"# a\n\n# b\"\"\"\n# c\n", 1, 1, 2), ("remarks in remarks", "Rust", "/* a /* b */\nc */ let d = 1;\n/* e */\n", 0, 2, 1),
+    ("braces in braces", "Haskell", "{- 1 {- 2 {- 3 -} -}\n-}\nmain = x -- y\n", 0, 2, 1), ("carriage returns", "SQL", "-- a\r\n\r\nselect '--'\r\n", 1, 1, 1),
+    ("mark at the start", "JavaScript", "\ufeff// a\nb()\n", 0, 1, 1), ("open quote", "C", "char *s = \"/* no\n/* yes */\n", 0, 1, 1), ("long brackets", "Lua", "--[[\nnote\n]]\n-- note\nf()\n", 0, 4, 1),
+    ("hash lines", "Shell", "#!/bin/sh\n# a\n\necho '#'\n", 1, 2, 1), ("slash star slash", "CSS", "/*/ a\n b */\nc {}\n", 0, 2, 1), ("two remarks", "C", "/* a */ /* b */\n/* c */ d;\n", 0, 1, 1),
+    ("nothing", "Python", "", 0, 0, 0), ("last line open", "Go", "a\n\n  ", 2, 0, 1), ("prose", "Plain Text", "# a\n\n// b\n", 1, 0, 2), ("wide blanks", "Go", "\u3000\n\u2003// a\n\u00a0b\n", 1, 0, 2),
+    ("markup", "HTML", "<p>\n<!-- a\nb -->\n</p>\n", 0, 2, 2), ("escaped quote", "Java", "s = \"\\\"// a\"; // b\n// c\n", 0, 1, 1),
 ]
 
 
@@ -196,7 +199,7 @@ def classify_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BY_NAME = _values(sorted(REGISTRY.by_filename.items()), "base, language")
 _BY_EXT = _values(sorted(REGISTRY.by_extension.items()), "ext, language")
 _BY_BANG = _values(sorted(REGISTRY.by_shebang.items()), "program, language")
-_PATHS = f"(SELECT doc_id, {PATH} AS path, text FROM documents WHERE doc_id IS NOT NULL)"
+_PATHS = f"(SELECT doc_id, {PATH} AS path, text FROM {_DOCUMENTS})"
 _NAMED = f"""SELECT p.*, coalesce(n.language, e.language) AS language FROM (SELECT *, regexp_extract(path, '([^/]*)$', 1) AS base,
  CASE WHEN contains(regexp_extract(path, '([^/]*)$', 1), '.') THEN lower(regexp_extract(path, '\\.([^./]*)$', 1)) END AS ext FROM {_PATHS}) p
  LEFT JOIN ({_BY_NAME}) n ON p.base = n.base LEFT JOIN ({_BY_EXT}) e ON p.ext = e.ext"""
@@ -212,7 +215,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shebangs.with_path_language(_paths(spark, sf_dir).drop("text"), "path", REGISTRY)
 
 
-@_query(f"""WITH h AS (SELECT doc_id, {HEAD} AS head FROM documents WHERE doc_id IS NOT NULL),
+@_query(f"""WITH h AS (SELECT doc_id, {HEAD} AS head FROM {_DOCUMENTS}),
  f AS (SELECT doc_id, list_filter(string_split_regex(substr(split_part(head, chr(10), 1), 3), '[ \\t]+'), lambda x: x <> '') AS f FROM h WHERE starts_with(head, '#!')),
  p AS (SELECT doc_id, regexp_extract(CASE WHEN regexp_extract(f[1], '([^/]*)$', 1) = 'env' THEN list_filter(f[2:], lambda x: NOT starts_with(x, '-') AND NOT contains(x, '='))[1] ELSE f[1] END, '([^/]*)$', 1) AS program FROM f),
  b AS ({_BY_BANG})
@@ -232,14 +235,8 @@ def filter_ext_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("language").agg(F.count("*").alias("files"))
 
 
-@_query("SELECT doc_id, contains(substr(body, 1, 8192), chr(0)) AS is_binary FROM (SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 5 = 0 THEN chr(0) ELSE '' END) AS body FROM documents WHERE doc_id IS NOT NULL AND regexp_full_match(coalesce(text, ''), '[\\x00-\\x7f]*'))")
+@_query("SELECT doc_id, regexp_matches(substr(hex(encode(concat(coalesce(text, ''), CASE WHEN doc_id % 5 = 0 THEN chr(0) ELSE '' END))), 1, 16384), '^(?:..)*00') AS is_binary FROM documents")
 def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which ASCII texts have a NUL among their first bytes: the SQL counts characters; binary_sniff_all takes every document."""
-    return binary_sniff_all(spark, sf_dir).join(_documents(spark, sf_dir).where(F.coalesce("text", F.lit("")).rlike(r"\A[\x00-\x7f]*\z")).select("doc_id"), "doc_id", "left_semi")
-
-
-@_query()
-def binary_sniff_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents have a NUL among their first bytes, as the classifier finds them."""
     body = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, F.unhex(F.lit("00")).cast("string")).otherwise("")).cast("binary")
     own = _table(spark, sf_dir, "documents").select("doc_id", F.lit("Plain Text").alias("language"), body.alias("body"))
@@ -278,7 +275,7 @@ def _ignore_rules(entries: DataFrame) -> DataFrame:
     return ignore_files.rules_of(own, ["root", "dir"])
 
 
-_SOURCES = f"(SELECT {_PREFIX} AS s, doc_id, {PATH} AS path FROM documents WHERE doc_id IS NOT NULL)"
+_SOURCES = f"(SELECT {_PREFIX} AS s, doc_id, {PATH} AS path FROM {_DOCUMENTS})"
 _GIT_SQL = f"""SELECT DISTINCT path AS rel, s || '/.gitignore: "*.log"' AS ignored_by FROM {_SOURCES} WHERE path LIKE '%.log' AND NOT regexp_matches(path, '/keep[^/]*$')
  UNION SELECT DISTINCT s || '/b/c', s || '/.gitignore: "/b/c/"' FROM {_SOURCES} WHERE doc_id % 14 IN (2, 10)"""
 
@@ -290,6 +287,30 @@ def gitignore_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ignore_files.ignored(entries, _ignore_rules(entries)).select("rel", "ignored_by")
 
 
+NESTED = {"": "*.md\n*.tar.gz\nkeep*\n", "b": "!*.md\nREADME1*\n", "b/c": "!f1*.tar.gz\n/f*.html\n!/f2*.html\n", "a/b": "!/keep1*\n"}
+
+
+@_query(f"""SELECT DISTINCT path AS rel, s || CASE WHEN doc_id % 14 = 6 THEN '/b/.gitignore: "README1*"' WHEN doc_id % 14 = 10 THEN '/b/c/.gitignore: "/f*.html"' WHEN doc_id % 14 = 2 THEN '/.gitignore: "*.tar.gz"' ELSE '/.gitignore: "keep*"' END AS ignored_by
+ FROM {_SOURCES} WHERE (doc_id % 14 = 6 AND path LIKE '%/README1%') OR (doc_id % 14 = 10 AND path NOT LIKE '%/f2%') OR (doc_id % 14 = 2 AND path NOT LIKE '%/f1%') OR (doc_id % 14 NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12) AND path NOT LIKE '%/keep1%')""")
+def gitignore_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries ignored where ignore files on three levels take back what those above say."""
+    entries = _tree(spark, sf_dir)
+    levels = F.explode(F.array(*(F.struct(F.lit(d).alias("below"), F.lit(t).alias("content")) for d, t in NESTED.items()))).alias("level")
+    own = entries.where("parent = '' and kind = 'dir'").select("root", "rel", levels)
+    texts = own.select("root", F.concat("rel", F.when(F.col("level.below") == "", "").otherwise(F.concat(F.lit("/"), "level.below"))).alias("dir"), "level.content")
+    return ignore_files.ignored(entries, ignore_files.rules_of(texts, ["root", "dir"])).select("rel", "ignored_by")
+
+
+STARS = ["**/c/**", "src1/**/*.go", "a/**/b", "**.py", "**/.bash*"]
+
+
+@_query(f"""SELECT doc_id, path, CASE WHEN regexp_matches(path, '(^|/)c/.') THEN '**/c/**' WHEN regexp_matches(path, '^src1/(.*/)?[^/]*[.]go(/|$)') THEN 'src1/**/*.go'
+ WHEN regexp_matches(path, '^a/(.*/)?b(/|$)') THEN 'a/**/b' WHEN regexp_matches(path, '(^|/)[^/]*[.]py(/|$)') THEN '**.py' WHEN regexp_matches(path, '(^|/)[.]bash[^/]*(/|$)') THEN '**/.bash*' END AS pattern FROM {_PATHS}""")
+def glob_globstar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several patterns with double stars that matches each path."""
+    return _paths(spark, sf_dir).select("doc_id", "path", PatternSet.parse(STARS).column(F.col("path")).alias("pattern"))
+
+
 @_query(f"SELECT DISTINCT s || '/node_modules' AS rel, 'node' AS detector FROM {_SOURCES} WHERE doc_id % 14 = 5")
 def smart_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories excluded by a marker above them."""
@@ -345,18 +366,12 @@ def tracked_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _tree(spark, sf_dir)
     index = _paths(spark, sf_dir).where("doc_id % 3 = 0").select(F.lit(0).alias("root"), F.col("path").alias("rel"))
     rules = cascade.Rules(exclude=PatternSet.parse(["*.PY", "keep*.log"]))
-    return cascade.decide(cascade.own_reasons(entries, rules, _ignore_rules(entries), index))[0].select("rel").where("rel not like '%/package.json'")
+    return cascade.decide(cascade.own_reasons(entries, rules, _ignore_rules(entries), index))[0].select("rel")
 
 
-@_query(f"SELECT path AS rel, CAST(doc_id AS VARCHAR) AS oid FROM {_SOURCES} WHERE doc_id % 14 = 0 AND doc_id % 4 <> 0")
+@_query(f"SELECT path || '.' || doc_id AS rel, CAST(doc_id AS VARCHAR) AS oid FROM {_SOURCES} WHERE doc_id % 4 <> 0")
 def clean_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries whose object may be read, of the ids whose made-up path is unique; clean_index_all takes every document."""
-    return _clean(_paths(spark, sf_dir).where("doc_id % 14 = 0"), F.col("path"))
-
-
-@_query()
-def clean_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index entries whose object may be read, of all documents: each path has the id behind it."""
+    """Index entries whose object may be read: each document's path has the id behind it, every fourth is changed."""
     return _clean(_paths(spark, sf_dir), F.concat("path", F.lit("."), F.col("doc_id").cast("string")))
 
 
@@ -396,14 +411,44 @@ def by_file_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain_files(spark, sf_dir).select("language", "path", "lines", "blank", "comment", "code").orderBy("language", "path")
 
 
+_TOTALS = f"SELECT coalesce(language, '(none)') AS name, {_SUMS} FROM ({_PLAIN_DOCS}) GROUP BY ALL"
+_REPORT = f"""WITH l AS ({_TOTALS}), t AS (SELECT CAST(coalesce(sum(files), 0) AS BIGINT) AS files, CAST(coalesce(sum(lines), 0) AS BIGINT) AS lines, CAST(coalesce(sum(blank), 0) AS BIGINT) AS blank,
+ CAST(coalesce(sum(comment), 0) AS BIGINT) AS comment, CAST(coalesce(sum(code), 0) AS BIGINT) AS code FROM l)"""
+_WIDTHS = f"""{_REPORT}, w AS (SELECT greatest(22, max(strlen(name)) + 2) AS a, greatest(12, max(greatest(len(CAST(files AS VARCHAR)), len(CAST(blank AS VARCHAR)), len(CAST(comment AS VARCHAR)), len(CAST(code AS VARCHAR)))) + 2) AS b
+ FROM (SELECT * FROM l UNION ALL SELECT 'Total', * FROM t)), r AS (SELECT repeat('-', CAST(a + 4 * b AS BIGINT)) || chr(10) AS r FROM w)"""
+
+
+def _sql_row(name: str) -> str:
+    numbers = " || ".join(f"lpad(CAST({x} AS VARCHAR), CAST(b AS INTEGER), ' ')" for x in ("files", "blank", "comment", "code"))
+    return f"rpad({name}, CAST(a AS INTEGER), ' ') || {numbers} || chr(10)"
+
+
+def _sql_fields(before: str, after: str, quote: str = "") -> str:
+    fields = [f"'{before}{quote}{x}{quote}: ' || {x}" for x in reports.MEASURES]
+    return f" || '{after}' || chr(10) || ".join(fields)
+
+
+_HEAD_ROW = " || ".join(f"lpad('{x}', CAST(b AS INTEGER), ' ')" for x in ("Files", "Blank", "Comment", "Code"))
+#: The three forms of a report, written by string functions of DuckDB.
+_FORMS = {
+    "table": f"""{_WIDTHS} SELECT 'table' AS format, r || rpad('Language', CAST(a AS INTEGER), ' ') || {_HEAD_ROW} || chr(10) || r ||
+ coalesce((SELECT string_agg({_sql_row('name')}, '' ORDER BY code DESC, name) FROM l, w), '') || r || (SELECT {_sql_row("'Total'")} FROM t, w) || r AS report FROM w, r""",
+    "json": f"""{_REPORT} SELECT 'json' AS format, '{{' || chr(10) || '  "schema_version": 1,' || chr(10) || '  "languages": [' || chr(10) ||
+ (SELECT string_agg('    {{' || chr(10) || '      "name": "' || name || '",' || chr(10) || {_sql_fields("      ", ",", '"')} || chr(10) || '    }}', ',' || chr(10) ORDER BY code DESC, name) FROM l) || chr(10) || '  ],' || chr(10) ||
+ '  "totals": {{' || chr(10) || (SELECT {_sql_fields("    ", ",", '"')} FROM t) || chr(10) || '  }},' || chr(10) || '  "excluded": []' || chr(10) || '}}' || chr(10) AS report""",
+    "yaml": f"""{_REPORT} SELECT 'yaml' AS format, 'schema_version: 1' || chr(10) || 'languages:' || chr(10) ||
+ (SELECT string_agg('  - name: ' || name || chr(10) || {_sql_fields("    ", "")} || chr(10), '' ORDER BY code DESC, name) FROM l) || 'totals:' || chr(10) || (SELECT {_sql_fields("  ", "")} FROM t) || chr(10) || 'excluded: []' || chr(10) AS report""",
+}
+
+
 def _written(name: str) -> None:
     def own(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = reports.formatter(name)(reports.build(_plain_files(spark, sf_dir).where("language is not null")))
-        return spark.createDataFrame([(name, text)], "format string, report string")
+        files = _plain_files(spark, sf_dir).withColumn("language", F.coalesce("language", F.lit("(none)")))
+        return spark.createDataFrame([(name, reports.formatter(name)(reports.build(files)))], "format string, report string")
 
     own.__name__ = f"report_{name}"
-    own.__doc__ = f"The report of plain-text counts as {name}."
-    _query()(own)
+    own.__doc__ = f"The report of plain-text counts as {name}; documents without a language are '(none)'."
+    _query(_FORMS[name])(own)
 
 
 for _name in reports.FORMATS:
@@ -417,14 +462,30 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_total(counted.where("not is_binary"))
 
 
-QUERIES["loc_report"] = flagship
+def _sql_flagship() -> str:
+    """The union of every language's own lexer over the documents that its paths name."""
+    parts = []
+    for name, language in sorted(REGISTRY.languages.items()):
+        if {"Go", "Python", "Makefile", "Rust", "JavaScript", "Markdown", "HTML", "SQL", "Shell"} & {name}:
+            rows = f"(SELECT doc_id, coalesce(text, '') AS body_text FROM ({_NAMED}) WHERE language = '{name}')"
+            counts = f"SELECT doc_id, lines, blank, CAST(0 AS BIGINT) AS comment, lines - blank AS code FROM ({_sql_plain('body_text', rows, 'doc_id')})" if language.plain else _sql_lexer("body_text", rows, "doc_id", language)
+            parts.append(f"SELECT '{name}' AS language, * FROM ({counts})")
+    return f"SELECT language, {_SUMS} FROM ({' UNION ALL '.join(parts)}) GROUP BY ROLLUP (language)"
+
+
+def loc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of many languages, counted and summed; see :func:`flagship`."""
+    return flagship(spark, sf_dir)
+
+
+_query(_sql_flagship())(loc_report)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The queries by name."""
-    return dict(QUERIES)
+    return QUERIES | scan_catalogue.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the queries that SQL can express."""
-    return dict(ORACLES)
+    return ORACLES | scan_catalogue.ORACLES

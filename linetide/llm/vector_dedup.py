@@ -33,7 +33,7 @@ from .sampling import sent
 from .vectors import rows_of
 
 COSINE = 0.95
-NEAREST, LISTED, TOGETHER, SHARED = 8, 6, 3, 4
+NEAREST, LISTED, TOGETHER, SHARED = 16, 6, 3, 10
 #: Pivots for each cube root of the number of vectors, and the fewest.  With so many a vector meets about
 #: 2400 / PER_ROOT ** 3 unrelated ones in its twenty lists, of any number of vectors.
 PER_ROOT, FEWEST = 5.0, 16
@@ -111,8 +111,8 @@ def _pivots(source: DataFrame) -> dict[int, tuple[int, np.ndarray]]:
     return spread([np.array(r["vector"]) for r in drawn], most)
 
 
-#: Nearest pivots of a vector, 16 bits each, as two numbers.
-_NEAR = ("near1", "near2")
+#: Nearest pivots of a vector, 16 bits each, as four numbers.
+_NEAR = ("near1", "near2", "near3", "near4")
 #: What tells lists and their pairs of blocks apart.
 _LIST = ["list", "left", "right"]
 
@@ -137,8 +137,8 @@ def _described(source: DataFrame, single: bool, pivots: dict[int, tuple[int, np.
                 vectors = np.frombuffer(b"".join(raw[k] for k in own), dtype=np.float32 if single else np.float64).reshape(-1, dim)
                 near[own] = describe(unit(vectors.astype(np.float64)), *known.get(dim, (0, np.zeros((0, dim), dtype=np.float32))))
             bad = np.array([b is None for b in raw], dtype=bool)
-            halves = near.view("<i8")
-            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, mask=bad) for x in (keys[:, 0], keys[:, 1], halves[:, 0], halves[:, 1]))], names)
+            quarters = near.view("<i8")
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, mask=bad) for x in (*keys.T, *quarters.T))], names)
 
         return step
 
@@ -157,10 +157,11 @@ def _postings(classes: DataFrame) -> DataFrame:
 
 
 def _shared(one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """How many of the eight numbers in each row of ``one`` are in the same row of ``other``; numbers are distinct within a row."""
+    """How many of the numbers in each row of ``one`` are in the same row of ``other``, of eight or sixteen; numbers are distinct within a row."""
     out = np.zeros(len(one), dtype=np.int8)
     for p in range(one.shape[1]):
-        out += (one[:, p, None] == other).view(np.uint64)[:, 0] != 0
+        equal = (one[:, p, None] == other).view(np.uint64)
+        out += (equal[:, 0] | equal[:, -1]) != 0
     return out
 
 
@@ -178,7 +179,7 @@ class Members:
         #: Pivots of the listed ones that come before the last of the list's own; a pair that shares others of these met before.
         last = (column["list"] & 0xFFFF)[:, None].astype(np.uint16)
         listed = self.near[:, :LISTED]
-        self.early = np.full((2, len(rows), NEAREST), 65535, dtype=np.uint16)
+        self.early = np.full((2, len(rows), 8), 65535, dtype=np.uint16)
         self.early[1] = 65534
         self.early[:, :, :LISTED] = np.where(listed < last, listed, self.early[:, :, :LISTED])
 
@@ -197,21 +198,21 @@ class Members:
             x = np.repeat(np.arange(begin, end), c)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
             begin = end
-            keep = (self.whole[x] | (self.block[x] != self.block[y])) & (_shared(self.near[x], self.near[y]) >= SHARED)
+            keep = (self.whole[x] | (self.block[x] != self.block[y])) & (_shared(self.early[0][x], self.early[1][y]) == TOGETHER - 1)
             x, y = x[keep], y[keep]
-            keep = _shared(self.early[0][x], self.early[1][y]) == TOGETHER - 1
+            keep = _shared(self.near[x], self.near[y]) >= SHARED
             found.append((x[keep], y[keep]))
         return tuple(np.concatenate([f[k] for f in found]) for k in range(2))
 
     def _long(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """The pairs of one long list: pivots in common are counted by products of the rows' marks."""
         names, at = np.unique(self.near[a:b], return_inverse=True)
-        owner, at = np.repeat(np.arange(b - a), NEAREST), at.reshape(-1)
+        at = at.reshape(b - a, NEAREST)
         has = np.zeros((b - a, len(names)), dtype=np.float32)
-        has[owner, at] = 1
+        has[np.arange(b - a)[:, None], at] = 1
         early = np.zeros_like(has)
-        low = (self.early[0][a:b] < 65535).reshape(-1)
-        early[owner[low], at[low]] = 1
+        row, place = np.nonzero(self.early[0][a:b, :LISTED] < 65535)
+        early[row, at[row, place]] = 1
         pairs = (has @ has.T >= SHARED) & (early @ early.T == TOGETHER - 1)
         if not self.whole[a]:
             pairs &= self.block[a:b, None] != self.block[None, a:b]

@@ -11,7 +11,6 @@ document is scored over its whole text.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -77,12 +76,11 @@ class Weights:
 
 
 class Learner:
-    """FTRL-proximal state of every coordinate: the bounded part of a fit, carried from epoch to epoch."""
+    """FTRL-proximal state of every coordinate: all that a fit holds besides one document."""
 
-    def __init__(self, share: float, l1: float, z: np.ndarray | None = None, n: np.ndarray | None = None):
+    def __init__(self, share: float, l1: float):
         size = (1 << BITS) + 1
-        self.z = np.zeros(size) if z is None else z
-        self.n = np.zeros(size) if n is None else n
+        self.z, self.n = np.zeros(size), np.zeros(size)
         self.l1 = np.full(size, l1)
         self.l1[-1] = 0
         share = min(max(share, 1e-3), 1 - 1e-3)
@@ -128,10 +126,9 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Labels other than 0 and 1, and null ids, are left out; an id with several labels is toxic if one
     of them is, an id counts once however often it is repeated, and of its texts the least is taken.  The sample is the
     documents with the least hashes of their ids, read in the order of other hashes: by the same ones a rarer label would be left
-    over at the end.  Every epoch reads the written coordinates as a sorted stream, in rows of :data:`PIECE`
-    at most, so a fit holds the state of the coordinates and one document, however long the documents are.
+    over at the end.  The fit reads the written coordinates of all epochs as one sorted stream, in rows of :data:`PIECE`
+    at most, so it holds the state of the coordinates and one document, however long the documents are.
     """
-    spark = documents.sparkSession
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).where(remainder(id_col, FOLDS) != HELD_OUT).groupBy(F.col(id_col).alias("own")).agg(F.max(label_col).cast("int").alias("label"))
     ids = documents.select(F.col(id_col).alias("own")).where(F.col(id_col).isNotNull()).distinct()
     sample = least_hashes(marked.join(ids, "own", "left_semi"), "label", "own", most)
@@ -152,34 +149,30 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if not seen:
         return UNLEARNED
     share = seen.get(1, 0) / sum(seen.values())
-    own = Learner(share, L1)
-    for _ in range(EPOCHS):
-        state = spark.sparkContext.broadcast((own.z, own.n))
-        r = found.repartition(1).sortWithinPartitions("mark", "name", "piece").mapInArrow(_epoch(state, share, L1), "z binary, n binary").first()
-        own = Learner(share, L1, *(np.frombuffer(zlib.decompress(r[k])).copy() for k in ("z", "n")))
-        state.unpersist()
-    return own.model()
+    epochs = found.withColumn("epoch", F.explode(F.array(*map(F.lit, range(EPOCHS)))))
+    read = epochs.repartition(1).sortWithinPartitions("epoch", "mark", "name", "piece").select("piece", "label", "features")
+    model = read.mapInArrow(_trained(share, L1), "at int, weight double").toPandas().sort_values("at")
+    return Weights(model["at"].to_numpy(dtype=np.int64)[1:], model["weight"].to_numpy()[1:], float(model["weight"].iloc[0]))
 
 
-def _epoch(state, share: float, l1: float):
-    """One pass over the sorted pieces of documents: the state before it, as compressed bytes the state after it."""
+def _trained(share: float, l1: float):
+    """All epochs over the sorted pieces of documents: the coordinates with a weight, and the bias as number -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, n = state.value
-        own = Learner(share, l1, z.copy(), n.copy())
+        own = Learner(share, l1)
         held: list[np.ndarray] = []
         label = 0
         for batch in batches:
-            values, ends = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
-            for k, (piece, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            values, ends = batch.column(2).values.to_numpy(), batch.column(2).offsets.to_numpy()
+            for k, (piece, y) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 if piece == 0:
                     if held:
                         own.learn(np.concatenate(held), label)
                     held, label = [], y
                 held.append(values[ends[k] : ends[k + 1]].astype(np.int64))
-        if held:
-            own.learn(np.concatenate(held), label)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (own.z, own.n)], ["z", "n"])
+        own.learn(np.concatenate(held), label)
+        w = own.model()
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *w.at.tolist()], pa.int32()), pa.array([w.bias, *w.weight.tolist()], pa.float64())], ["at", "weight"])
 
     return run
 

@@ -1,42 +1,53 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles.
-
-A radius of a 64-bit fingerprint that holds the pairs of similarity 0.8 is about 16 bits, and then no
-byte needs to be shared.  So candidates come from min-hashes instead: :data:`BANDS` keys of
-:data:`ROWS` minima each, of which a pair of similarity 0.8 shares one with probability 0.9998.
-Every candidate pair is verified on the words themselves, so no other pair links.
-
-Members of a key are not paired with each other at first: each is compared with a hub drawn for the key.
-What that links needs no further comparison; members of a key in different components are drawn a
-new hub as long as their pairs are many, and then paired in full: by a byte of each of their minima inside the
-join, of which a pair of similarity 0.8 has :data:`SHARED` in common with probability 0.9999, and by their words if
-they have.  So a large group of near copies costs a few comparisons a member; only texts that share keys without being similar
-are paired in full, without their words.
+"""Near-duplicates by the Jaccard similarity of five-word shingles: SimHash, byte-position inverted index, count filter, verification.
+
+Two texts of similarity 0.8 differ in 15 % of the bits of their SimHash.  In 64 bits they need not share a byte, so the
+fingerprint of the set of shingles has :data:`WORDS` times 64 bits, which are 144 positional bytes.  A posting is keyed by
+two positional bytes at once, in the three pairs of each group of three positions.  A pair of similarity 0.8 that differs in 15 % of
+the bits shares no list with probability 0.0001.  Of each list only members stay that are near another one by :data:`SKETCH_BITS` of
+the bits.  Pairs are retained if they share :data:`SHARED` positional bytes, then if they differ in at most :data:`BITS` bits, and every
+pair left is verified on the words themselves, so no other pair links.
+
+Members of a list are not paired with each other at first: each is compared with the list's hub.
+What that links needs no further comparison; members of a list in different components are drawn a
+new hub as long as their pairs are many.  Then the members go that cannot be similar to another one by the number of their shingles that no
+other member has, which takes a count and no pairs, and what is left is paired in full, each pair in the first list it shares.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import arrow_map, join_facts, written
+from .frames import arrow_map, join_facts, replaced, written
 from .graph import components
 from .simhash import SEED, one_of_each, text_node
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 16, 4
+#: Numbers of 64 bits of a fingerprint, its positional bytes, and lists of a fingerprint: the pairs of each group of three positions.
+WORDS, BYTES, LISTS = 18, 144, 144
 #: Rounds of hubs at most before all pairs left are compared, and pairs for each posting from which another round is worth it.
 HUBS, MANY = 2, 2
-#: Equal bytes of the minima from which a pair is verified.
-SHARED = 38
-_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64)
+#: Rounds at most in which members without enough common shingles go, and pairs for each posting from which a round is worth it.
+PEELS, PEEL = 3, 8
+#: Positional bytes that a retained pair shares at least, and bits in which it differs at most; sums of few shingles are coarse, so these are not asked below SMALL shingles.
+SHARED, BITS, SMALL = 18, 222, 16
+#: Bits that travel with a posting, in which two of a list differ at most that are near.
+SKETCH_BITS, SKETCH_APART = 96, 31
+#: Members from which all of a list count as near another one, and members of a block of a longer list when it is paired.
+LONG, BLOCK = 1024, 512
+#: Shingles whose bits are counted at a time.
+MOST = 1 << 19
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, WORDS), dtype=np.uint64)
 _ODD, _PLUS = _DRAWS[0] | np.uint64(1), _DRAWS[1]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> list[bytes]:
@@ -55,55 +66,191 @@ def similar(one: set[bytes], other: set[bytes], least: float = SIMILARITY) -> bo
     return both >= least * (len(one) + len(other) - both) - 1e-9
 
 
-def band_keys(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """For each text that has words a row of :data:`BANDS` keys and one with a byte of each minimum, eight to a number (zeros for the others)."""
-    lists = [shingles(t, shingle) for t in texts]
-    sizes = np.array([len(x) for x in lists], dtype=np.int64)
-    out = np.zeros((len(texts), BANDS), dtype=np.uint64)
-    low = np.zeros((len(texts), BANDS * ROWS), dtype=np.uint8)
-    if not sizes.any():
-        return out, low.view("<u8")
-    hashes = np.fromiter((h for x in lists for h in map(xxhash.xxh64_intdigest, x, repeat(SEED))), dtype=np.uint64, count=int(sizes.sum()))
-    some = sizes > 0
-    starts = (np.cumsum(sizes) - sizes)[some]
-    for band in range(BANDS):
-        key = np.full(len(starts), band + 1, dtype=np.uint64) * _MIX
-        for k in range(band * ROWS, (band + 1) * ROWS):
-            least = np.minimum.reduceat(hashes * _ODD[k] + _PLUS[k], starts)
-            low[some, k] = (least * _MIX) >> np.uint64(56)
-            key = (key ^ least) * _MIX
-            key ^= key >> np.uint64(32)
-        out[some, band] = key
-    return out, low.view("<u8")
+def fingerprints(sets: list[list[bytes]]) -> np.ndarray:
+    """The SimHash of each set of shingles: a row of :data:`BYTES` bytes, zeros for an empty one."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    if len(sets) > 1 and sizes.sum() > MOST:
+        return np.concatenate([fingerprints(sets[: len(sets) // 2]), fingerprints(sets[len(sets) // 2 :])])
+    out = np.zeros((len(sets), WORDS, 8), dtype=np.uint8)
+    some = np.flatnonzero(sizes)
+    if not some.size:
+        return out.reshape(-1, BYTES)
+    hashes = np.fromiter((h for x in sets for h in map(xxhash.xxh64_intdigest, x, repeat(SEED))), dtype=np.uint64, count=int(sizes.sum()))
+    ends, chunks = np.cumsum(sizes)[some], -(-sizes[some] // 255)
+    own = np.cumsum(chunks) - chunks
+    starts = np.repeat(ends - sizes[some], chunks) + 255 * (np.arange(chunks.sum()) - np.repeat(own, chunks))
+    counts = np.empty((len(starts), 8, 8), dtype=np.int64)
+    for word in range(WORDS):
+        mixed = hashes * _ODD[word] + _PLUS[word]
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _MIX
+        mixed ^= mixed >> np.uint64(29)
+        for bit in range(8):
+            counts[:, :, bit] = np.add.reduceat((mixed >> np.uint64(bit)) & _LANES, starts).view(np.uint8).reshape(-1, 8)
+        most = 2 * np.add.reduceat(counts, own, axis=0) > sizes[some][:, None, None]
+        out[some, word] = np.packbits(most, axis=2, bitorder="little")[:, :, 0]
+    return out.reshape(-1, BYTES)
 
 
 def _prints(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """``id``, ``node`` (a hash of the text), ``keys`` and ``low`` (:func:`band_keys`) of every row."""
+    """``id``, ``node`` (a hash of the text), ``fp`` (its fingerprint) and ``size`` (its number of shingles) of every row."""
     source = _texts(df, id_col, text_col)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = band_keys(batch.column(2).cast(pa.binary()).to_pylist(), shingle)
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in found)], ["id", "node", "keys", "low"])
+            sets = [list(set(shingles(t, shingle))) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            found = [x.tobytes() for x in fingerprints(sets)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary()), pa.array(list(map(len, sets)), pa.int32())], ["id", "node", "fp", "size"])
 
         return step
 
-    return arrow_map(source, make, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("low", T.ArrayType(T.LongType()))]))
+    return arrow_map(source, make, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("size", T.IntegerType())]))
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), text_node(text_col).alias("node"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def _unequal_bytes() -> Column:
-    """How many bytes of ``a_low`` and ``b_low`` differ."""
-    out = F.lit(0)
-    for k in range(BANDS * ROWS // 8):
-        x = F.col("a_low")[k].bitwiseXOR(F.col("b_low")[k])
-        for n in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        out = out + F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return out
+def _bytes(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, BYTES)
+
+
+def _postings(distinct: DataFrame) -> DataFrame:
+    """Of each node its postings: ``packed`` (list, its two bytes, a third of the sketch), ``sketch`` (the rest) and ``node``."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = _bytes(batch.column(1))
+            one, two, three = np.moveaxis(found.reshape(-1, BYTES // 3, 3).astype(np.int64), 2, 0)
+            keys = (np.arange(LISTS) << 16) + np.stack([one << 8 | two, one << 8 | three, two << 8 | three], axis=2).reshape(-1, LISTS)
+            packed = keys << 32 | found[:, :4].copy().view("<u4").astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (packed.ravel(), np.repeat(found[:, 4:12].copy().view("<i8").ravel(), LISTS), np.repeat(batch.column(0).to_numpy(), LISTS))], ["packed", "sketch", "node"])
+
+        return step
+
+    return arrow_map(distinct.select("node", "fp"), make, "packed bigint, sketch bigint, node bigint")
+
+
+def _met(runs: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of rows in each stretch of equal values of at most ``longest`` rows, some at a time."""
+    starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+    lengths = np.diff(np.r_[starts, len(runs)])
+    left_over = np.repeat(starts + lengths, lengths) - np.arange(len(runs)) - 1
+    rows = np.flatnonzero(np.repeat(lengths <= longest, lengths))
+    for step in range(1, longest):
+        rows = rows[left_over[rows] >= step]
+        if not rows.size:
+            return
+        yield rows, rows + step
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], runs_of) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted batches dealt anew, so that none ends within a stretch of equal values of ``runs_of(batch)``."""
+    held = None
+    for batch in batches:
+        held = batch if held is None or not held.num_rows else pa.concat_batches([held, batch])
+        if not held.num_rows:
+            continue
+        runs = runs_of(held)
+        last = int(np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])[-1])
+        if last:
+            yield held.slice(0, last), runs[:last]
+            held = held.slice(last)
+    if held is not None and held.num_rows:
+        yield held, runs_of(held)
+
+
+def _near(posts: DataFrame) -> DataFrame:
+    """``key`` and ``node`` of the postings that are near another one of their list; all of a list of over :data:`LONG`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, key in _whole_runs(batches, lambda b: b.column(0).to_numpy() >> 32):
+            packed, sketch = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+            lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
+            near = np.repeat(lengths > LONG, lengths)
+            for a, b in _met(key, LONG):
+                ok = np.bitwise_count(packed[a] ^ packed[b]) + np.bitwise_count(sketch[a] ^ sketch[b]) <= SKETCH_APART
+                near[a[ok]] = near[b[ok]] = True
+            if near.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[near].astype(np.int32)), batch.column(2).filter(pa.array(near))], ["key", "node"])
+
+    return posts.repartition(F.expr("packed >> 32")).sortWithinPartitions("packed").mapInArrow(run, "key int, node bigint")
+
+
+def _retained(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of fingerprints pass the count filter and the test of differing bits, and the positional bytes that they share."""
+    same = one == other
+    apart = np.bitwise_count(one.view(np.uint64) ^ other.view(np.uint64)).sum(axis=1, dtype=np.int64)
+    least, most = np.minimum(sizes, others), np.maximum(sizes, others)
+    return (least >= similarity * most - 1e-9) & ((least < SMALL) | ((same.sum(axis=1) >= SHARED) & (apart <= BITS))), same
+
+
+def _counted(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` that :func:`_retained` holds."""
+    ends = [facts.select(F.col("node").alias(x), F.col("fp").alias(f"{x}_fp"), F.col("size").alias(f"{x}_size")) for x in "ab"]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ok, _ = _retained(_bytes(batch.column(2)), _bytes(batch.column(3)), batch.column(4).to_numpy(), batch.column(5).to_numpy(), similarity)
+            return batch.select(["a", "b"]).filter(pa.array(ok))
+
+        return step
+
+    return arrow_map(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_fp", "b_fp", "a_size", "b_size"), make, "a bigint, b bigint", 4096)
+
+
+def _paired(posts: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of different roots in the lists of ``posts`` that are retained, each from the first list it shares.
+
+    ``facts`` tells of each node ``fp``, ``size`` and ``most``, the size up to which another one can be similar to it.  A long list is dealt out in pairs of blocks.
+    """
+    blocks = posts.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = posts.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
+    rows = dealt.join(facts, "node").select(F.struct("key", "i", "j").alias("place"), "own", "node", "root", "size", "most", "fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def places(batch: pa.RecordBatch) -> np.ndarray:
+            key, i, j = (x.to_numpy().astype(np.int64) for x in batch.column(0).flatten())
+            return np.cumsum(np.r_[0, (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)])
+
+        for batch, runs in _whole_runs(batches, places):
+            key, i, j = (x.to_numpy() for x in batch.column(0).flatten())
+            block, node, root, size, most = (batch.column(k).to_numpy() for k in range(1, 6))
+            found, pairs = _bytes(batch.column(6)), []
+            first = found[:, :8].copy().view(np.uint64).ravel()
+            for a, b in _met(runs, len(runs)):
+                ok = (root[a] != root[b]) & ((i[a] == j[a]) | (block[a] != block[b])) & (size[a] <= most[b]) & (size[b] <= most[a])
+                a, b = a[ok], b[ok]
+                ok = np.bitwise_count(first[a] ^ first[b]) <= SKETCH_APART
+                for at in range(0, int(ok.sum()), 1 << 14):
+                    x, y = (z[ok][at : at + (1 << 14)] for z in (a, b))
+                    good, same = _retained(found[x], found[y], size[x], size[y], similarity)
+                    x, y, (one, two, three) = x[good], y[good], np.moveaxis(same[good].reshape(-1, BYTES // 3, 3), 2, 0)
+                    lists = np.stack([one & two, one & three, two & three], axis=2).reshape(-1, LISTS)
+                    here = lists.argmax(axis=1) == key[x] >> 16
+                    pairs.append(np.stack([node[x[here]], node[y[here]]]))
+            if pairs:
+                a, b = np.concatenate(pairs, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a bigint, b bigint")
+
+
+def _reach(nodes: DataFrame, texts: DataFrame, facts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``facts`` of the nodes, with ``most``: the size up to which another one of them can be similar, given its shingles that none of them has."""
+    source = texts.join(nodes, "node", "left_semi")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [set(shingles(t, shingle)) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            hashes = np.fromiter((h for x in sets for h in map(xxhash.xxh64_intdigest, x, repeat(SEED))), dtype=np.uint64, count=sum(map(len, sets)))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])), pa.array(hashes.view(np.int64))], ["node", "h"])
+
+        return step
+
+    alone = arrow_map(source.select("node", "text"), make, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    most = (F.col("size") - F.coalesce("alone", F.lit(0))) * ((1 + similarity) / similarity) - F.col("size") + 1e-6
+    return facts.join(nodes, "node", "left_semi").join(alone, "node", "left").select("node", "fp", "size", most.alias("most"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -121,41 +268,61 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return arrow_map(source, make, "a bigint, b bigint")
 
 
-def _roots(distinct_posts: DataFrame, low: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of the nodes that are linked, from the postings ``(node, key)`` of keys with several nodes."""
-    posts, links, roots = distinct_posts, None, None
+def _mixed(posts: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """The postings of lists with several roots, written."""
+    mixed = posts.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key")
+    return replaced(old, posts.join(mixed, "key").select("key", "node", "root"), "posts")
+
+
+def _size(posts: DataFrame) -> tuple[int, float]:
+    """The number of postings, and of pairs of different roots in their lists."""
+    by_root = posts.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    size = by_root.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
+    return size["n"] or 0, size["pairs"] or 0
+
+
+def _roots(near: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``node`` and ``root`` of the nodes that are linked, from the postings ``(key, node)`` that are near another one."""
+    posts, links, roots = near, None, None
     for turn in range(HUBS + 1):
         if roots is not None:
-            rooted = distinct_posts.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-            mixed = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key")
-            posts = written(rooted.join(mixed, "key"), "posts")
-            by_root = posts.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            size = by_root.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-            if not size["n"]:
+            posts = _mixed(near.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+            n, pairs = _size(posts)
+            if not n:
                 return roots
-            if turn == HUBS or size["pairs"] <= MANY * size["n"]:
-                full = written(posts.join(low, "node"), "posts")
-                ends = [full.select(F.col("key").alias(f"{x}_key"), F.col("node").alias(x), F.col("root").alias(f"{x}_root"), F.col("low").alias(f"{x}_low")) for x in "ab"]
-                near = (F.col("a_key") == F.col("b_key")) & (F.col("a_root") < F.col("b_root")) & (_unequal_bytes() <= BANDS * ROWS - SHARED)
-                pairs = ends[0].join(ends[1], near).select("a", "b").distinct()
-                return components(links.union(written(_verified(pairs, texts, shingle, similarity), "links")))
-        drawn = posts.groupBy("key").agg(F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("hub"))
+            if turn == HUBS or pairs <= MANY * n:
+                break
+        drawn = posts.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
         pairs = posts.join(drawn, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = written(_verified(pairs, texts, shingle, similarity), "links")
+        found = written(_verified(_counted(pairs, facts, similarity), texts, shingle, similarity), "links")
         links = found if links is None else links.union(found)
         roots = written(components(links), "roots")
+    reach = facts.withColumn("most", F.lit(float("inf")))
+    for _ in range(PEELS):
+        if pairs <= PEEL * n:
+            break
+        reach = written(_reach(posts.select("node").distinct(), texts, facts, shingle, similarity), "reach")
+        sized = posts.join(reach.select("node", "size", "most"), "node")
+        least = sized.groupBy("key").agg(F.min("size").alias("least"))
+        posts = _mixed(sized.join(least, "key").where(F.col("most") >= F.greatest(F.col("least"), similarity * F.col("size"))), posts)
+        (n, pairs), before = _size(posts), pairs
+        if not n:
+            return roots
+        if pairs > before / 2:
+            break
+    return components(links.union(written(_verified(written(_paired(posts, reach, similarity), "pairs"), texts, shingle, similarity), "links")))
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Every row's id and node, and for each node its rows' number, their least id and its component's root."""
     prints = written(_prints(df, id_col, text_col, shingle), "prints")
-    distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("keys").alias("keys"), F.first("low").alias("low"))
-    every = distinct.select("node", "least", F.explode("keys").alias("key")).distinct()
-    met = written(every.join(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "met")
-    wanted = met.select("node", "least").distinct().withColumnRenamed("node", "own")
+    distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"))
+    facts = written(distinct, "facts")
+    near = written(_near(_postings(facts)), "near")
+    wanted = near.select("node").distinct().join(facts.select("node", "least"), "node").withColumnRenamed("node", "own")
     source = _texts(df, id_col, text_col)
     texts = written(source.join(wanted, (source["node"] == wanted["own"]) & source["id"].eqNullSafe(wanted["least"]), "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-    roots = _roots(met.select("node", "key"), distinct.select("node", "low"), texts, shingle, similarity)
+    roots = _roots(near, facts.select("node", "fp", "size"), texts, shingle, similarity)
     every = prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     return prints.select("id", "node"), every.join(roots, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
 

@@ -55,3 +55,20 @@ def test_components_equal_brute_force(spark, monkeypatch, many):
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values()))
     assert shingle_dedup.near_duplicates(docs.where("false")).count() == 0
+
+
+def test_fingerprints_are_simhashes_and_similar_ones_share_a_list():
+    rng = random.Random(7)
+    sets = []
+    for _ in range(40):
+        one, other = copies(rng, 300, 6)
+        sets += [list({*shingle_dedup.shingles(t.encode())}) for t in (one, other)]
+    sets += [[], [b"alone"]]
+    found = shingle_dedup.fingerprints(sets)
+    bits = shingle_dedup.np.unpackbits(found, axis=1, bitorder="little")
+    assert not found[-2].any()
+    single = [shingle_dedup.np.unpackbits(shingle_dedup.fingerprints([[s]]), bitorder="little").astype(int) for s in sets[0]]
+    assert (bits[0] == (2 * sum(single) > len(single))).all()
+    for a in range(0, 80, 2):
+        same = (found[a] == found[a + 1]).reshape(-1, 3).sum(axis=1)
+        assert (same >= 2).any()

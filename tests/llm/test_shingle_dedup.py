@@ -72,3 +72,25 @@ def test_fingerprints_are_simhashes_and_similar_ones_share_a_list():
     for a in range(0, 80, 2):
         same = (found[a] == found[a + 1]).reshape(-1, 3).sum(axis=1)
         assert (same >= 2).any()
+
+
+def test_a_large_group_below_the_similarity_is_not_verified_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for n in range(300):
+        at = rng.randrange(0, 136)
+        texts.append(" ".join(base[:at] + [f"own{n}x{k}" for k in range(14)] + base[at + 14 :]))
+    seen = []
+    verified = shingle_dedup._verified
+
+    def counted(pairs, *rest):
+        seen.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(shingle_dedup, "_verified", counted)
+    monkeypatch.setattr(shingle_dedup, "PEEL", 0, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs).collect()}
+    assert found == plain_components(list(range(300)), [(a, b) for a in range(300) for b in range(a) if plain_similar(texts[a], texts[b])])
+    assert sum(seen) < 40 * len(texts)

@@ -3,19 +3,21 @@
 Two texts of similarity 0.8 differ in 15 % of the bits of their SimHash.  In 64 bits they need not share a byte, so the
 fingerprint of the set of shingles has :data:`WORDS` times 64 bits, which are 144 positional bytes.  A posting is keyed by
 two positional bytes at once, in the three pairs of each group of three positions.  A pair of similarity 0.8 that differs in 15 % of
-the bits shares no list with probability 0.0001.  Of each list only members stay that are near another one by :data:`SKETCH_BITS` of
+the bits shares no list with probability 0.0001.  Of each list only members are kept that are near another one by :data:`SKETCH_BITS` of
 the bits.  Pairs are retained if they share :data:`SHARED` positional bytes, then if they differ in at most :data:`BITS` bits, and every
 pair left is verified on the words themselves, so no other pair links.
 
-Members of a list are not paired with each other at first: each is compared with the list's hub.
-What that links needs no further comparison; members of a list in different components are drawn a
-new hub as long as their pairs are many.  Then the members go that cannot be similar to another one by the number of their shingles that no
-other member has, which takes a count and no pairs, and what is left is paired in full, each pair in the first list it shares.
+Members of a list are not paired with each other at first: each takes the one near it that is nearest to the others of the list, of all
+its lists the best, and is compared with that leader, the leader's and so on.  What that links needs no further comparison.  Then the
+members go that cannot be similar to another one by the number of their shingles that no other member has, which takes a count and
+no pairs.  What is left is few, so it meets in lists of a single positional byte, of which :data:`AGAIN` do; there all pairs
+of different components are compared, each in the first list it shares.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -25,23 +27,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import arrow_map, join_facts, replaced, written
+from .frames import arrow_map, join_facts, written
 from .graph import components
 from .simhash import SEED, one_of_each, text_node
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Numbers of 64 bits of a fingerprint, its positional bytes, and lists of a fingerprint: the pairs of each group of three positions.
 WORDS, BYTES, LISTS = 18, 144, 144
-#: Rounds of hubs at most before all pairs left are compared, and pairs for each posting from which another round is worth it.
-HUBS, MANY = 2, 2
-#: Rounds at most in which members without enough common shingles go, and pairs for each posting from which a round is worth it.
-PEELS, PEEL = 3, 8
+#: How often the way to leaders is doubled: a member is compared with the first, second, fourth ... on it.
+HUBS = 2
+#: Rounds at most in which members without enough common shingles go, and members left for each that went up to which another round is worth it.
+PEELS, MANY = 3, 1
+#: Lists of a single positional byte in which the members left meet; a pair of similarity 0.8 shares none with probability 0.00001.
+AGAIN = 36
 #: Positional bytes that a retained pair shares at least, and bits in which it differs at most; sums of few shingles are coarse, so these are not asked below SMALL shingles.
 SHARED, BITS, SMALL = 18, 222, 16
 #: Bits that travel with a posting, in which two of a list differ at most that are near.
-SKETCH_BITS, SKETCH_APART = 96, 31
+SKETCH_BITS, SKETCH_APART = 167, 52
+#: Bits of the sketch that are packed with the key of a posting, and bits of 64 in which two differ at most before all their bits are compared.
+PACKED_BITS, FIRST_APART = 39, 31
 #: Members from which all of a list count as near another one, and members of a block of a longer list when it is paired.
 LONG, BLOCK = 1024, 512
+#: Nodes up to which those that are near another one are sent to all tasks, to find their texts without a shuffle of all texts.
+SENT = 400_000
 #: Shingles whose bits are counted at a time.
 MOST = 1 << 19
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, WORDS), dtype=np.uint64)
@@ -115,19 +123,20 @@ def _bytes(column: pa.Array) -> np.ndarray:
 
 
 def _postings(distinct: DataFrame) -> DataFrame:
-    """Of each node its postings: ``packed`` (list, its two bytes, a third of the sketch), ``sketch`` (the rest) and ``node``."""
+    """Of each node its postings: ``packed`` (list, its two bytes, the first bits of the sketch), ``sketch`` and ``more`` (the rest) and ``node``."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = _bytes(batch.column(1))
             one, two, three = np.moveaxis(found.reshape(-1, BYTES // 3, 3).astype(np.int64), 2, 0)
             keys = (np.arange(LISTS) << 16) + np.stack([one << 8 | two, one << 8 | three, two << 8 | three], axis=2).reshape(-1, LISTS)
-            packed = keys << 32 | found[:, :4].copy().view("<u4").astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (packed.ravel(), np.repeat(found[:, 4:12].copy().view("<i8").ravel(), LISTS), np.repeat(batch.column(0).to_numpy(), LISTS))], ["packed", "sketch", "node"])
+            words = found[:, :24].copy().view("<i8")
+            packed = keys << PACKED_BITS | words[:, :1] & (1 << PACKED_BITS) - 1
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (packed.ravel(), np.repeat(words[:, 1], LISTS), np.repeat(words[:, 2], LISTS), np.repeat(batch.column(0).to_numpy(), LISTS))], ["packed", "sketch", "more", "node"])
 
         return step
 
-    return arrow_map(distinct.select("node", "fp"), make, "packed bigint, sketch bigint, node bigint")
+    return arrow_map(distinct.select("node", "fp"), make, "packed bigint, sketch bigint, more bigint, node bigint")
 
 
 def _met(runs: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -159,21 +168,53 @@ def _whole_runs(batches: Iterator[pa.RecordBatch], runs_of) -> Iterator[tuple[pa
         yield held, runs_of(held)
 
 
+def _central(sketches: np.ndarray) -> int:
+    """The row of those sketches that is nearest to what most of them have, bit by bit."""
+    most = np.zeros(sketches.shape[1], dtype=np.uint64)
+    for bit in range(64):
+        most |= (2 * ((sketches >> np.uint64(bit)) & np.uint64(1)).sum(axis=0, dtype=np.int64) > len(sketches)).astype(np.uint64) << np.uint64(bit)
+    return int(np.bitwise_count(sketches ^ most).sum(axis=1, dtype=np.int64).argmin())
+
+
 def _near(posts: DataFrame) -> DataFrame:
-    """``key`` and ``node`` of the postings that are near another one of their list; all of a list of over :data:`LONG`."""
+    """``node``, ``hub`` and ``degree`` of each posting that is near another one of its list.
+
+    The hub is the one of those near it, or itself, with the highest ``degree``: the bits by which others are nearer than they need to be.
+    All of a list of over :data:`LONG` count as near the one in its middle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, key in _whole_runs(batches, lambda b: b.column(0).to_numpy() >> 32):
-            packed, sketch = (batch.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-            lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)])
-            near = np.repeat(lengths > LONG, lengths)
+        for batch, key in _whole_runs(batches, lambda b: b.column(0).to_numpy() >> PACKED_BITS):
+            sketches = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1).view(np.uint64)
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            lengths = np.diff(np.r_[starts, len(key)])
+            degree, lead, met = np.zeros(len(key), dtype=np.int64), np.arange(len(key)), []
             for a, b in _met(key, LONG):
-                ok = np.bitwise_count(packed[a] ^ packed[b]) + np.bitwise_count(sketch[a] ^ sketch[b]) <= SKETCH_APART
-                near[a[ok]] = near[b[ok]] = True
+                closer = SKETCH_APART + 1 - np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+                ok = closer > 0
+                a, b = a[ok], b[ok]
+                degree[a] += closer[ok]
+                degree[b] += closer[ok]
+                met.append((a, b))
+            node = batch.column(3).to_numpy()
+            for a, b in met:
+                for x, y in ((a, b), (b, a)):
+                    now = lead[x]
+                    better = (degree[y] > degree[now]) | ((degree[y] == degree[now]) & (node[y] < node[now]))
+                    lead[x[better]] = y[better]
+            for start, length in zip(starts[lengths > LONG].tolist(), lengths[lengths > LONG].tolist(), strict=True):
+                lead[start : start + length] = start + _central(sketches[start : start + length])
+                degree[start : start + length] = length * SKETCH_APART
+            near = degree > 0
             if near.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[near].astype(np.int32)), batch.column(2).filter(pa.array(near))], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[near], node[lead[near]], degree[lead[near]].astype(np.int32))], ["node", "hub", "degree"])
+
+    return posts.repartition(F.expr(f"packed >> {PACKED_BITS}")).sortWithinPartitions("packed").mapInArrow(run, "node bigint, hub bigint, degree int")
 
-    return posts.repartition(F.expr("packed >> 32")).sortWithinPartitions("packed").mapInArrow(run, "key int, node bigint")
+
+def _leaders(near: DataFrame) -> DataFrame:
+    """``node`` and ``hub``: of all a node's lists the hub of the highest degree."""
+    return near.groupBy("node").agg(F.max_by("hub", F.struct("degree", "hub")).alias("hub"))
 
 
 def _retained(one: np.ndarray, other: np.ndarray, sizes: np.ndarray, others: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -198,15 +239,30 @@ def _counted(pairs: DataFrame, facts: DataFrame, similarity: float) -> DataFrame
     return arrow_map(pairs.join(ends[0], "a").join(ends[1], "b").select("a", "b", "a_fp", "b_fp", "a_size", "b_size"), make, "a bigint, b bigint", 4096)
 
 
-def _paired(posts: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of different roots in the lists of ``posts`` that are retained, each from the first list it shares.
+def _again(members: DataFrame) -> DataFrame:
+    """Of each member its postings by a single positional byte: ``key``, and all that :func:`_paired` asks for."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = _bytes(batch.column(4))[:, :: BYTES // AGAIN]
+            keys = ((np.arange(AGAIN) << 8) + found).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *batch.take(pa.array(np.repeat(np.arange(batch.num_rows), AGAIN))).columns], ["key", *batch.schema.names])
+
+        return step
 
-    ``facts`` tells of each node ``fp``, ``size`` and ``most``, the size up to which another one can be similar to it.  A long list is dealt out in pairs of blocks.
+    return arrow_map(members.select("node", "root", "size", "most", "fp"), make, "key int, node bigint, root bigint, size int, most double, fp binary")
+
+
+def _paired(members: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of members of different roots that share a positional byte of :data:`AGAIN` and are retained, each from the first list it shares.
+
+    ``members`` tells of each node ``root``, ``fp``, ``size`` and ``most``, the size up to which another one can be similar to it.  A long list is dealt out in pairs of blocks;
+    there are at most 256 lists for each byte, so their numbers of blocks are sent to all tasks.
     """
-    blocks = posts.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = posts.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    rows = dealt.join(facts, "node").select(F.struct("key", "i", "j").alias("place"), "own", "node", "root", "size", "most", "fp")
+    posts = _again(members)
+    blocks = posts.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key", "blocks")
+    own = posts.join(F.broadcast(blocks), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.struct("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).alias("place"), "own", "node", "root", "size", "most", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def places(batch: pa.RecordBatch) -> np.ndarray:
@@ -221,13 +277,12 @@ def _paired(posts: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
             for a, b in _met(runs, len(runs)):
                 ok = (root[a] != root[b]) & ((i[a] == j[a]) | (block[a] != block[b])) & (size[a] <= most[b]) & (size[b] <= most[a])
                 a, b = a[ok], b[ok]
-                ok = np.bitwise_count(first[a] ^ first[b]) <= SKETCH_APART
+                ok = np.bitwise_count(first[a] ^ first[b]) <= FIRST_APART
                 for at in range(0, int(ok.sum()), 1 << 14):
                     x, y = (z[ok][at : at + (1 << 14)] for z in (a, b))
                     good, same = _retained(found[x], found[y], size[x], size[y], similarity)
-                    x, y, (one, two, three) = x[good], y[good], np.moveaxis(same[good].reshape(-1, BYTES // 3, 3), 2, 0)
-                    lists = np.stack([one & two, one & three, two & three], axis=2).reshape(-1, LISTS)
-                    here = lists.argmax(axis=1) == key[x] >> 16
+                    x, y = x[good], y[good]
+                    here = same[good][:, :: BYTES // AGAIN].argmax(axis=1) == key[x] >> 8
                     pairs.append(np.stack([node[x[here]], node[y[here]]]))
             if pairs:
                 a, b = np.concatenate(pairs, axis=1)
@@ -236,9 +291,9 @@ def _paired(posts: DataFrame, facts: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("place").sortWithinPartitions("place").mapInArrow(run, "a bigint, b bigint")
 
 
-def _reach(nodes: DataFrame, texts: DataFrame, facts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``facts`` of the nodes, with ``most``: the size up to which another one of them can be similar, given its shingles that none of them has."""
-    source = texts.join(nodes, "node", "left_semi")
+def _reach(members: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``members`` (node, root, fp, size) that another one can be similar to, with ``most``: the size up to which it can, given the shingles that no other has."""
+    source = texts.join(members.select("node"), "node", "left_semi")
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -250,7 +305,7 @@ def _reach(nodes: DataFrame, texts: DataFrame, facts: DataFrame, shingle: int, s
 
     alone = arrow_map(source.select("node", "text"), make, "node bigint, h bigint").groupBy("h").agg(F.min("node").alias("node"), F.count("*").alias("n")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
     most = (F.col("size") - F.coalesce("alone", F.lit(0))) * ((1 + similarity) / similarity) - F.col("size") + 1e-6
-    return facts.join(nodes, "node", "left_semi").join(alone, "node", "left").select("node", "fp", "size", most.alias("most"))
+    return members.join(alone, "node", "left").select("node", "root", "fp", "size", most.alias("most")).where(F.col("most") >= similarity * F.col("size"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -268,49 +323,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return arrow_map(source, make, "a bigint, b bigint")
 
 
-def _mixed(posts: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """The postings of lists with several roots, written."""
-    mixed = posts.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("key")
-    return replaced(old, posts.join(mixed, "key").select("key", "node", "root"), "posts")
-
-
-def _size(posts: DataFrame) -> tuple[int, float]:
-    """The number of postings, and of pairs of different roots in their lists."""
-    by_root = posts.groupBy("key", "root").agg(F.count("*").cast("double").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    size = by_root.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2).alias("pairs")).first()
-    return size["n"] or 0, size["pairs"] or 0
-
-
-def _roots(near: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``node`` and ``root`` of the nodes that are linked, from the postings ``(key, node)`` that are near another one."""
-    posts, links, roots = near, None, None
-    for turn in range(HUBS + 1):
-        if roots is not None:
-            posts = _mixed(near.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-            n, pairs = _size(posts)
-            if not n:
-                return roots
-            if turn == HUBS or pairs <= MANY * n:
-                break
-        drawn = posts.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"))
-        pairs = posts.join(drawn, "key").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = written(_verified(_counted(pairs, facts, similarity), texts, shingle, similarity), "links")
-        links = found if links is None else links.union(found)
-        roots = written(components(links), "roots")
-    reach = facts.withColumn("most", F.lit(float("inf")))
+def _roots(leaders: DataFrame, facts: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``node`` and ``root`` of the nodes that are linked; ``leaders`` and ``texts`` are of the nodes that are near another one."""
+    ways = [leaders]
+    for _ in range(HUBS):
+        way = ways[-1]
+        ways.append(way.withColumnRenamed("hub", "via").join(way.select(F.col("node").alias("via"), "hub"), "via").select("node", "hub"))
+    met = reduce(DataFrame.union, ways).where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    links = written(_verified(_counted(met, facts, similarity), texts, shingle, similarity), "links")
+    roots = written(components(links), "roots")
+    members = facts.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "fp", "size")
+    n = facts.count()
     for _ in range(PEELS):
-        if pairs <= PEEL * n:
-            break
-        reach = written(_reach(posts.select("node").distinct(), texts, facts, shingle, similarity), "reach")
-        sized = posts.join(reach.select("node", "size", "most"), "node")
-        least = sized.groupBy("key").agg(F.min("size").alias("least"))
-        posts = _mixed(sized.join(least, "key").where(F.col("most") >= F.greatest(F.col("least"), similarity * F.col("size"))), posts)
-        (n, pairs), before = _size(posts), pairs
-        if not n:
+        members = written(_reach(members, texts, shingle, similarity), "reach")
+        left = members.count()
+        if not left:
             return roots
-        if pairs > before / 2:
+        if left >= MANY * (n - left):
             break
-    return components(links.union(written(_verified(written(_paired(posts, reach, similarity), "pairs"), texts, shingle, similarity), "links")))
+        n = left
+    return components(links.union(written(_verified(written(_paired(members, similarity), "pairs"), texts, shingle, similarity), "links")))
 
 
 def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -318,11 +350,14 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, similarity
     prints = written(_prints(df, id_col, text_col, shingle), "prints")
     distinct = prints.groupBy("node").agg(F.min("id").alias("least"), F.first("fp").alias("fp"), F.first("size").alias("size"))
     facts = written(distinct, "facts")
-    near = written(_near(_postings(facts)), "near")
-    wanted = near.select("node").distinct().join(facts.select("node", "least"), "node").withColumnRenamed("node", "own")
+    leaders = written(_leaders(_near(_postings(facts))), "leaders")
+    few = leaders.count() <= SENT
+    nodes = leaders.select("node")
+    near = written(facts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi"), "near")
+    wanted = near.select(F.col("node").alias("own"), "least")
     source = _texts(df, id_col, text_col)
-    texts = written(source.join(wanted, (source["node"] == wanted["own"]) & source["id"].eqNullSafe(wanted["least"]), "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
-    roots = _roots(near, facts.select("node", "fp", "size"), texts, shingle, similarity)
+    texts = written(source.join(F.broadcast(wanted) if few else wanted, (source["node"] == wanted["own"]) & source["id"].eqNullSafe(wanted["least"]), "left_semi").select("node", "text").dropDuplicates(["node"]), "texts")
+    roots = _roots(leaders, near.select("node", "fp", "size"), texts, shingle, similarity)
     every = prints.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     return prints.select("id", "node"), every.join(roots, "node", "left").select("node", "n", "least", F.coalesce("root", "node").alias("root"))
 

@@ -94,3 +94,34 @@ def test_a_large_group_below_the_similarity_is_not_verified_pair_by_pair(spark,
     found = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs).collect()}
     assert found == plain_components(list(range(300)), [(a, b) for a in range(300) for b in range(a) if plain_similar(texts[a], texts[b])])
     assert sum(seen) < 40 * len(texts)
+
+
+def test_members_of_a_large_group_are_compared_with_few(spark, monkeypatch):
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    texts = [" ".join(base)]
+    for n in range(400):
+        words = list(base)
+        for k in rng.sample(range(150), 1 + n % 6):
+            words[k] = f"own{n}x{k}"
+        texts.append(" ".join(words))
+    seen = []
+    counted = shingle_dedup._counted
+
+    def noted(pairs, *rest):
+        seen.append(pairs.count())
+        return counted(pairs, *rest)
+
+    monkeypatch.setattr(shingle_dedup, "_counted", noted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in shingle_dedup.near_duplicates(docs).collect()}
+    assert found == plain_components(list(range(401)), [(a, b) for a in range(401) for b in range(a) if plain_similar(texts[a], texts[b])])
+    assert sum(seen) < 4 * len(texts)
+
+
+def test_texts_without_a_near_one_are_not_near_by_chance(spark):
+    rng = shingle_dedup.np.random.default_rng(17)
+    prints = rng.integers(0, 256, size=(20000, shingle_dedup.BYTES), dtype="uint8")
+    facts = spark.createDataFrame([(k, bytearray(x.tobytes())) for k, x in enumerate(prints)], "node bigint, fp binary")
+    near = shingle_dedup._near(shingle_dedup._postings(facts))
+    assert near.count() < 20
